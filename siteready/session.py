@@ -16,12 +16,24 @@ def local_session(cpus: int | str = "*", app: str = "siteready", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
         .getOrCreate()
     )
 
 
+# The JVM never compiles a method above 8000 bytes of bytecode. A fused stage above it runs interpreted, ten times
+# slower than the same operators unfused, so such stages are left unfused.
+JIT_LIMIT = "8000"
+
+
+def tune(spark: SparkSession) -> None:
+    """Session settings the wide scoring projections need; safe to set on a running session."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
