@@ -170,6 +170,11 @@ def metrics(steps: DataFrame, journeys: DataFrame, catalog: Catalog | None = Non
         "FAI.UNEXPECTED_NAV": (F.when((F.col("done") > 0) | (F.col("moved") > 0), F.col("unexpected").cast("double")),
                                F.when((F.col("done") == 0) & (F.col("moved") == 0), none_executed)),
     }
+    # values become plain columns first: a generator does not share common subexpressions, a projection does
+    ids = list(num)
+    j = j.select("run_id", "profile", "success", "unverified",
+                 *[num[k][0].cast("double").alias(f"_v{i}") for i, k in enumerate(ids)],
+                 *[num[k][1].cast("string").alias(f"_r{i}") for i, k in enumerate(ids)])
     text = F.lit(None).cast("string")
     rows = []
     for i, k in enumerate(catalog.by_producer("friction")):
@@ -177,12 +182,13 @@ def metrics(steps: DataFrame, journeys: DataFrame, catalog: Catalog | None = Non
             value, flag, reason = F.lit(None).cast("double"), F.col("success"), F.when(
                 F.col("success").isNull(), F.coalesce("unverified", F.lit("no_verification")))
         else:
-            (value, reason), flag = num[k.id], F.lit(None).cast("boolean")
+            at = ids.index(k.id)
+            value, reason, flag = F.col(f"_v{at}"), F.col(f"_r{at}"), F.lit(None).cast("boolean")
         rows.append(F.struct(
             F.lit(k.id).alias("kpi_id"), F.lit(i).alias("ord"), F.lit(k.unit).alias("unit"),
             F.when(value.isNotNull(), F.lit("number")).when(flag.isNotNull(), F.lit("bool")).alias("value_type"),
-            value.cast("double").alias("value_num"), flag.alias("value_bool"), text.alias("value_str"),
-            (value.isNotNull() | flag.isNotNull()).alias("assessed"), reason.cast("string").alias("reason")))
+            value.alias("value_num"), flag.alias("value_bool"), text.alias("value_str"),
+            (value.isNotNull() | flag.isNotNull()).alias("assessed"), reason.alias("reason")))
     out = j.select("run_id", "profile", F.explode(F.array(*rows)).alias("_o"))
     fields = ("kpi_id", "ord", "unit", "value_type", "value_num", "value_bool", "value_str", "assessed", "reason")
     return out.select("run_id", "profile", *[F.col("_o")[c].alias(c) for c in fields],

@@ -397,13 +397,17 @@ def all_kpis(scores: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     return scores.unionByName(missing, allowMissingColumns=True)
 
 
-def sub_indices(scores: DataFrame, catalog: Catalog | None = None, complete: bool = False) -> DataFrame:
+def sub_indices(scores: DataFrame, catalog: Catalog | None = None, complete: bool = False,
+                with_risk: bool = False) -> DataFrame:
     """(run, scope, owner) -> score, coverage, judged share, limiting KPIs; exact values beside the stored ones.
 
     Unless ``complete`` says that every KPI has a row, the weight of KPIs without a row is added from the registry.
+    ``with_risk`` keeps the risk index as one more owner row, so that one aggregation feeds the whole headline.
     """
     catalog = catalog or default_catalog()
-    df = scores.where((F.col("owner") != K.RISK_INDEX) & (F.col("weight") > 0))
+    wanted = (F.col("owner") != K.RISK_INDEX) & (F.col("weight") > 0)
+    df = scores.where(wanted | (F.col("owner") == K.RISK_INDEX)) if with_risk else scores.where(wanted)
+    fired = (F.col("owner") == K.RISK_INDEX) & F.col("assessed") & (F.coalesce("value_num", F.lit(0.0)) != 0.0)
     by_default = ~((F.col("kpi_scope") == "journey") & ~F.col("journey")) & ~(F.col("judged") & ~F.col("judged_run"))
     scored = F.col("applicable") & F.col("assessed") & F.col("normalized").isNotNull()
     limiting = F.when(scored & (F.col("normalized") < 100), F.struct("normalized", (-F.col("weight")).alias("neg"),
@@ -414,6 +418,7 @@ def sub_indices(scores: DataFrame, catalog: Catalog | None = None, complete: boo
         F.sum(F.when(scored & (F.col("source") == "judged"), F.col("weight")).otherwise(0.0)).alias("_judged"),
         F.sum(F.when(F.col("applicable"), F.col("weight")).otherwise(0.0)).alias("_applicable"),
         F.sum(F.when(by_default, F.col("weight")).otherwise(0.0)).alias("_default"),
+        F.product(F.when(fired, F.lit(1.0) - N.clamp(F.col("severity") * F.col("value_num")))).alias("_keep"),
         F.first("journey").alias("journey"), F.first("judged_run").alias("judged_run"),
         F.slice(F.array_sort(F.collect_list(limiting)), 1, catalog.limiting).alias("_limiting"))
     if complete:
@@ -445,7 +450,9 @@ def finish_sub_indices(g: DataFrame, catalog: Catalog) -> DataFrame:
         F.when(has, N.grade(F.col("exact_coverage"), catalog.grades)).alias("grade"),
         N.three_decimals(F.col("exact_share")).alias("judged_share"),
         F.transform("_limiting", lambda s: s["kpi_id"]).alias("limiting_kpis"),
-        "exact_score", "exact_coverage", "exact_share")
+        "exact_score", "exact_coverage", "exact_share",
+        F.when(F.col("owner") == K.RISK_INDEX, N.round_half_even(
+            F.lit(100.0) * (F.lit(1.0) - F.coalesce("_keep", F.lit(1.0))), 2)).alias("risk_score"))
 
 
 def noisy_or(severity: Column, confidence: Column) -> Column:
@@ -495,15 +502,27 @@ def risk_signals(scores: DataFrame, top: int | None = None) -> DataFrame:
     return fired if top is None else fired.where(F.col("rank") <= top)
 
 
-def headline(sub: DataFrame, risk: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """(run, scope) -> published score: weighted geometric mean with a floor, a risk penalty and coverage gates."""
+def score_runs(obs: DataFrame, catalog: Catalog | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """Observations to headline in one lineage: the KPI rows are aggregated once for indices and risk together."""
+    catalog = catalog or default_catalog()
+    scores = kpi_scores(aggregate_kpis(obs, catalog, extra), catalog)
+    return headline(sub_indices(scores, catalog, with_risk=True), None, catalog)
+
+
+def headline(sub: DataFrame, risk: DataFrame | None, catalog: Catalog | None = None) -> DataFrame:
+    """(run, scope) -> published score: weighted geometric mean with a floor, a risk penalty and coverage gates.
+
+    risk(run_id, scope, risk_score) may be left out when ``sub`` carries the risk index as an owner row.
+    """
     catalog = catalog or default_catalog()
     owner = F.col("owner")
     weights = F.create_map(*[F.lit(v) for pair in catalog.index_weights.items() for v in pair])[owner]
     total = float(sum(catalog.index_weights.values()))
     majors = [o for o in K.SUB_INDICES if catalog.index_weights.get(o, 0) >= catalog.major_weight]
-    df = sub.where(owner.isin(*catalog.index_weights)).withColumn("_w", weights)
-    has = F.col("exact_score").isNotNull()
+    df = sub if risk is None else sub.where(owner.isin(*catalog.index_weights))
+    df = df.withColumn("_w", weights)
+    own_risk = F.max("risk_score") if risk is None else F.lit(None).cast("double")
+    has = F.col("exact_score").isNotNull() & F.col("_w").isNotNull()
     ok_major = owner.isin(*majors) & (F.col("exact_coverage") + K.TOLERANCE >= catalog.min_major_coverage)
     g = df.groupBy("run_id", "scope").agg(
         F.sum(F.col("_w") * F.col("exact_coverage")).alias("_evidence"),
@@ -511,9 +530,12 @@ def headline(sub: DataFrame, risk: DataFrame, catalog: Catalog | None = None) ->
         F.sum(F.when(has, F.col("_w") * F.log(F.greatest("exact_score", F.lit(catalog.floor))))).alias("_log"),
         F.sum(F.when(has, F.col("_w"))).alias("_present"),
         F.array_sort(F.collect_set(F.when(ok_major, owner))).alias("_ok"),
-        F.min(F.when(has, F.struct("exact_score", "owner"))).alias("_limiting"))
-    g = g.join(risk.select("run_id", "scope", "risk_score"), ["run_id", "scope"], "left")
-    coverage = F.col("_evidence") / total
+        F.min(F.when(has, F.struct("exact_score", "owner"))).alias("_limiting"), own_risk.alias("_risk"))
+    if risk is None:
+        g = g.withColumnRenamed("_risk", "risk_score")
+    else:
+        g = g.drop("_risk").join(risk.select("run_id", "scope", "risk_score"), ["run_id", "scope"], "left")
+    coverage = F.coalesce("_evidence", F.lit(0.0)) / total
     share = F.when(F.col("_evidence") > 0, F.col("_judged") / F.col("_evidence")).otherwise(0.0)
     short = F.array_except(F.array(*[F.lit(o) for o in majors]), F.col("_ok"))
     reason = F.array_compact(F.array(

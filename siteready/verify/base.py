@@ -54,7 +54,9 @@ def duck_sql(sql: str) -> str:
     _needed(sql, names)
     ctes = [f"{n} AS ({(VIEWS.get(n) or DUCK_VIEWS.get(n)).strip()})" for n in names]
     body = sql.strip()
-    if ctes and body[:5].upper() == "WITH ":
+    if ctes and body[:15].upper() == "WITH RECURSIVE ":
+        out = "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
+    elif ctes and body[:5].upper() == "WITH ":
         out = "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     elif ctes:
         out = "WITH " + ",\n".join(ctes) + "\n" + body

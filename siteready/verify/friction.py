@@ -178,8 +178,7 @@ def _(spark, d):
 def _(spark, d):
     """Step log to headline: friction KPIs of every journey, scored."""
     obs = R.metrics(_steps(spark, d), spark_view(spark, d, "v_journeys"))
-    k = S.kpi_scores(S.aggregate_kpis(obs, CAT), CAT)
-    return S.headline(S.sub_indices(k, CAT), S.risk_summary(k, CAT), CAT)
+    return S.score_runs(obs, CAT)
 
 
 # ---------------------------------------------------------------- URLs

@@ -6,7 +6,7 @@ import importlib
 
 from siteready.verify import base
 
-MODULES = ("scoring", "friction")
+MODULES = ("scoring", "friction", "judgments", "events")
 
 
 def _load() -> None:

@@ -366,13 +366,12 @@ _HSRC = """(SELECT run_id, scope, sum(iw*exact_coverage) ev, sum(iw*exact_covera
   sum(iw*ln(greatest(exact_score,10))) FILTER (WHERE exact_score IS NOT NULL) lg, sum(iw) FILTER (WHERE exact_score IS NOT NULL) present,
   array_to_string(list(i.owner ORDER BY oi) FILTER (WHERE iw >= 15 AND coalesce(exact_coverage,0)+1e-9 < 0.5), ',') low,
   arg_min(i.owner, (exact_score, i.owner)) FILTER (WHERE exact_score IS NOT NULL) limiting
-  FROM (SELECT DISTINCT run_id, scope FROM SUBSRC) CROSS JOIN d_iw i LEFT JOIN SUBSRC s USING (run_id, scope, owner) GROUP BY ALL)"""
+  FROM (SELECT DISTINCT run_id, scope FROM KEYSRC) CROSS JOIN d_iw i LEFT JOIN SUBSRC s USING (run_id, scope, owner) GROUP BY ALL)"""
 
 
-@query("score_headline", _HEAD.replace("HSRC", _HSRC.replace("SUBSRC", "v_sub")).replace("RSRC", "v_risk"))
+@query("score_headline", _HEAD.replace("HSRC", _HSRC.replace("SUBSRC", "v_sub").replace("KEYSRC", "v_kpi")).replace("RSRC", "v_risk"))
 def _(spark, d):
-    k = _kpis(spark, d)
-    return S.headline(S.sub_indices(k, CAT), S.risk_summary(k, CAT), CAT)
+    return S.score_runs(_obs(spark, d), CAT)
 
 
 # sub-indices straight from lineitem, wide enough to be published
@@ -387,7 +386,7 @@ def _subs(spark, d):
     return S.headline(spark_view(spark, d, "v_subs"), spark_view(spark, d, "v_risks"), CAT)
 
 
-_SUBHEAD = _HEAD.replace("HSRC", _HSRC.replace("SUBSRC", "v_subs")).replace("RSRC", "v_risks")
+_SUBHEAD = _HEAD.replace("HSRC", _HSRC.replace("SUBSRC", "v_subs").replace("KEYSRC", "v_subs")).replace("RSRC", "v_risks")
 
 
 @query("agg_16_geometric_headline", f"SELECT run_id, score, risk_score FROM ({_SUBHEAD})")
