@@ -7,23 +7,24 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NON_ASCII = r"[^\x00-\x7F]"
 
 
 # The three Unicode forms have no built-in column function; these are the only Python functions of the library, and
 # the wrappers below send them non-ASCII rows only.
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 

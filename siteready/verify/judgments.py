@@ -13,7 +13,7 @@ view("v_tasks", """SELECT o_orderkey % 100 AS run_id, o_orderkey AS task_id, o_o
  CASE WHEN o_orderkey % 11 = 0 THEN 'rubrics.v1' ELSE 'rubrics.v2' END AS rubric_version,
  CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 3 END AS samples_required,
  CASE o_custkey % 6 WHEN 0 THEN 'request_failed' WHEN 1 THEN 'low_probability' END AS escalation_reason,
- CAST(o_totalprice / 20 AS BIGINT) AS chars FROM orders""")
+ CAST(floor(o_totalprice / 20) AS BIGINT) AS chars FROM orders""")
 view("v_verdicts", """SELECT l_orderkey % 100 AS run_id, l_orderkey AS task_id, concat('j', CAST(l_suppkey % 5 AS VARCHAR(3))) AS judge_id,
  concat('m', CAST(l_suppkey % 3 AS VARCHAR(3))) AS model, l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey AS arrival,
  l_orderkey * 1000000000000 + l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey AS verdict_id,

@@ -6,7 +6,7 @@ import importlib
 
 from siteready.verify import base
 
-MODULES = ("scoring", "friction", "judgments", "events")
+MODULES = ("scoring", "friction", "judgments", "events", "checks")
 
 
 def _load() -> None:
