@@ -6,7 +6,7 @@ import importlib
 
 from siteready.verify import base
 
-MODULES = ("scoring", "friction", "judgments", "events", "checks")
+MODULES = ("scoring", "friction", "judgments", "events", "checks", "pages")
 
 
 def _load() -> None:
