@@ -19,9 +19,12 @@ from siteready.dims import constants as K
 from siteready.session import shared_dir
 
 
-def read_stream(spark: SparkSession, path: str, schema: Ty.StructType, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream with an explicit schema; each new file is read once."""
+def read_stream(spark: SparkSession, path: str, schema: Ty.StructType, fmt: str = "parquet", files_per_trigger: int | None = None,
+                pattern: str | None = None) -> DataFrame:
+    """A file stream over a folder with an explicit schema; each new file is read once."""
     r = spark.readStream.schema(schema).format(fmt)
+    if pattern:
+        r = r.option("pathGlobFilter", pattern)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.load(path)

@@ -119,7 +119,7 @@ def _(spark, d):
 
 
 def _report_pages(spark, d):
-    return spark_view(spark, d, "v_page").select("run_id", "page_id", "profile", "stage", F.lit("u").alias("url"), F.lit(None).cast("string").alias("final_url"), F.col("price").alias("lcp_ms"), F.col("disc").alias("cls"),
+    return spark_view(spark, d, "v_page").select("run_id", "page_id", "profile", "stage", "q", F.lit("u").alias("url"), F.lit(None).cast("string").alias("final_url"), F.col("price").alias("lcp_ms"), F.col("disc").alias("cls"),
                                                  (F.col("price") * 100).alias("bytes_transfer"), F.when(F.col("n") % 10 == 0, 0).otherwise(F.col("n")).alias("requests"))
 
 
@@ -140,9 +140,8 @@ def _(spark, d):
 
 @query("snk_03_report_rows", """SELECT page_id, CASE WHEN n % 10 <> 0 THEN round_even(price * 100 / 1000, 0) END AS kb, CASE WHEN q >= 80 THEN 'good' WHEN q >= 50 THEN 'mid' ELSE 'bad' END AS band FROM v_page""")
 def _(spark, d):
-    p = Snk.report_pages(_report_pages(spark, d)).select("page_id", "kb")
-    b = spark_view(spark, d, "v_page").select("page_id", Snk.score_band(F.col("q")).alias("band"))
-    return p.join(b, "page_id")
+    p = _report_pages(spark, d).withColumn("profile", F.col("q").cast("string"))
+    return Snk.report_pages(p).select("page_id", "kb", Snk.score_band(F.col("profile").cast("double")).alias("band"))
 
 
 @query("snk_03_tags", """SELECT run_id, scope, kpi_id, CASE WHEN NOT applicable THEN 'skipped' WHEN NOT ok THEN 'missing' WHEN weight = 0 AND owner <> 'DPR' THEN 'info' WHEN source = 'judged' THEN 'inferred' ELSE 'observed' END AS tag FROM v_kpi""")

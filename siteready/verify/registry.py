@@ -6,7 +6,7 @@ import importlib
 
 from siteready.verify import base
 
-MODULES = ("scoring", "friction", "judgments", "events", "checks", "pages", "records")
+MODULES = ("scoring", "friction", "judgments", "events", "checks", "pages", "records", "streaming")
 
 
 def _load() -> None:
