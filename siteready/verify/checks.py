@@ -9,7 +9,7 @@ from siteready.functions.lexicon import Lexicon
 from siteready.functions.numbers import round_half_even
 from siteready.operators import checks as C
 from siteready.operators import risk as R
-from siteready.verify.base import duck_view, half_even, query, spark_view, table, view
+from siteready.verify.base import ORACLES, duck_view, half_even, query, spark_view, table, view
 from siteready.verify.scoring import CAT
 
 LX = Lexicon()
@@ -272,7 +272,7 @@ def _(spark, d):
     return R.unexplained_fees(fees, told, none, LX)
 
 
-view("v_timer", """SELECT run_id, ord AS pos, concat('Sale ', CAST(k % 4 AS VARCHAR(2)), ' ends ', CAST(ord AS VARCHAR(8))) AS text, k % 4 AS m, floor(value) * 1.0 AS remaining_s, event_type FROM v_ev""")
+view("v_timer", """SELECT run_id, ord AS pos, concat('Sale ', CAST(k % 4 AS VARCHAR(2)), ' ends ', CAST(ord AS VARCHAR(8))) AS text, k % 4 AS m, CAST(floor(value) AS DOUBLE) AS remaining_s, event_type FROM v_ev""")
 duck_view("v_pairs", """SELECT a.run_id, a.pos AS pos1, b.pos AS pos2, a.remaining_s AS s1, b.remaining_s AS s2 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS r FROM v_timer WHERE event_type = 'click') a
  JOIN (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS r FROM v_timer WHERE event_type = 'view') b ON a.run_id = b.run_id AND a.r = b.r""")
 
@@ -446,3 +446,8 @@ def _(spark, d):
 @query("txt_23_query_match", "SELECT p_partkey, array_to_string(list_sort(list_filter(['red','ring'], lambda w: list_contains(string_split(p_name, ' '), w))), ',') AS hits FROM part")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(R.query_hits(F.lit("the Red ring for you"), F.col("p_name"), _STOP), ",").alias("hits"))
+
+
+# SQL reads 0.8 as a decimal; the operators give doubles
+for _name in ("join_11_sneak_into_basket", "agg_46_prechecked", "agg_43_countdown_reset", "agg_42_low_stock", "agg_44_nagging", "agg_45_consent_asymmetry"):
+    ORACLES[_name] = f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({ORACLES[_name]})"

@@ -51,7 +51,7 @@ def _(spark, d):
                              spark_view(spark, d, "v_finals")).select("run_id", "task_id", "judge_id", "arrival", "accepted", "reason")
 
 
-@query("agg_30_majority_vote", "SELECT run_id, task_id, label, agreement, samples, confidence FROM v_final")
+@query("agg_30_majority_vote", "SELECT run_id, task_id, label, agreement, CAST(samples AS BIGINT) AS samples, confidence FROM v_final")
 def _(spark, d):
     return _finals(spark, d).select("run_id", "task_id", "label", "agreement", "samples", "confidence")
 
@@ -182,7 +182,7 @@ def _(spark, d):
     return J.page_tasks(t).select("run_id", F.col("task_id").cast("long").alias("task_id"), "page")
 
 
-@query("agg_37_label_stability", f"SELECT task_id, sum(n) AS runs, {half_even('max(n)/sum(n)', 3)} AS agreement, max(n) = sum(n) AS stable FROM (SELECT task_id, label, count(*) n FROM v_verdicts GROUP BY ALL) GROUP BY task_id")
+@query("agg_37_label_stability", f"SELECT task_id, CAST(sum(n) AS BIGINT) AS runs, {half_even('max(n)/sum(n)', 3)} AS agreement, max(n) = sum(n) AS stable FROM (SELECT task_id, label, count(*) n FROM v_verdicts GROUP BY ALL) GROUP BY task_id")
 def _(spark, d):
     return J.label_agreement(spark_view(spark, d, "v_verdicts"))
 

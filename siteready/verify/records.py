@@ -165,7 +165,7 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- extension surface
-@query("ext_01_register_kpi", "SELECT page_id, n % 3 AS value_num FROM v_page WHERE n > 10")
+@query("ext_01_register_kpi", "SELECT page_id, CAST(n % 3 AS DOUBLE) AS value_num FROM v_page WHERE n > 10")
 def _(spark, d):
     e = api.Engine(CAT)
     e.register_kpi(Cat.Kpi("CCL.CUSTOM", "CCL", "count", "checks", "page", "max", "number", weight=1.0, points=((0.0, 0.0), (2.0, 100.0))),

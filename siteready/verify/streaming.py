@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteready.functions import friction as P
+from siteready.functions.numbers import round_half_even
 from siteready.operators import scoring as S
 from siteready.session import shared_dir
 from siteready.streaming import streams as St
@@ -80,7 +81,7 @@ def _(spark, d):
 @query("str_05_layout_shift", ORACLES["win_07_layout_shift"].replace(f", {half_even('s.post', 4)} AS cls_post_input", ""))
 def _(spark, d):
     s = spark_view(spark, d, "v_shift").select("run_id", "seq", F.col("start_ms").cast("double").alias("start_ms"), F.col("value").cast("double").alias("value"), "had_input")
-    return St.latest(St.drain(St.stream_layout_shift(_replay(spark, s)), "cls", "update"), ["run_id"], "batch_id").select("run_id", F.round("cls", 4).alias("cls"))
+    return St.latest(St.drain(St.stream_layout_shift(_replay(spark, s)), "cls", "update"), ["run_id"], "batch_id").select("run_id", round_half_even(F.col("cls"), 4).alias("cls"))
 
 
 @query("str_06_spontaneous", ORACLES["win_08_spontaneous"])
