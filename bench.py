@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from siteready.session import local_session
 from siteready.verify import registry
 
-HEADLINE = ["score_headline", "agg_10_kpi_scores", "agg_28_friction_kpis", "win_03_rage", "agg_30_majority_vote", "win_11_sample_cap", "agg_23_network_summary", "win_07_layout_shift", "join_18_as_of_since",
-            "txt_21_page_kpis", "join_11_sneak_into_basket", "ora_02_item_under_price", "agg_35_call_quantiles", "txt_01_page_features", "join_17_lexicon_hits", "win_10_select_snippets", "agg_13_noisy_or"]
+HEADLINE = ["score_headline", "agg_28_friction_kpis", "win_03_rage", "agg_30_majority_vote", "win_11_sample_cap", "agg_23_network_summary", "win_07_layout_shift", "join_18_as_of_since",
+            "join_11_sneak_into_basket", "ora_02_item_under_price", "agg_35_call_quantiles", "txt_01_page_features", "join_17_lexicon_hits", "win_10_select_snippets", "agg_13_noisy_or"]
 
 
 def main() -> None:
@@ -27,6 +28,7 @@ def main() -> None:
         start = time.perf_counter()
         registry.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rstrip("/").split("sf")[-1]}))
 
 

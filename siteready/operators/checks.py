@@ -210,15 +210,27 @@ def _page_checks() -> dict[str, tuple[str, Column, Column]]:
 
 
 def page_kpis(pages: DataFrame, catalog: Catalog | None = None, extra: dict | None = None) -> DataFrame:
-    """(run, page, KPI) observations: every page check of the page's stage in one projection and one unpivot.
+    """(run, page, KPI) observations: every page check of the page's stage, a few checks per projection and unpivot.
 
     The values become plain columns first, so the projection shares their common parts; the unpivot only arranges
     them. ``extra`` adds registered checks: KPI id -> (type, value, reason).
     """
     catalog = catalog or default_catalog()
-    checks = {**_page_checks(), **(extra or {})}
+    checks = list({**_page_checks(), **(extra or {})}.items())
     keys = [c for c in ("run_id", "profile", "page_id", "page_ord", "stage", "repeat_of") if c in pages.columns]
-    wide = complete_columns(pages).select(
+    pages = complete_columns(pages)
+    out = None
+    for at in range(0, len(checks), CHECKS_PER_PASS):
+        part = _unpivot_checks(pages, dict(checks[at:at + CHECKS_PER_PASS]), keys, catalog)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("assessed", F.col("reason").isNull()).withColumn("source", F.lit("deterministic"))
+
+
+CHECKS_PER_PASS = 9  # more in one projection and its generated code is too large to be compiled
+
+
+def _unpivot_checks(pages: DataFrame, checks: dict, keys: list[str], catalog: Catalog) -> DataFrame:
+    wide = pages.select(
         *keys, *[v.alias(f"_v{i}") for i, (_, v, _) in enumerate(checks.values())],
         *[r.cast("string").alias(f"_r{i}") for i, (_, _, r) in enumerate(checks.values())])
     null = {"number": F.lit(None).cast("double"), "bool": F.lit(None).cast("boolean"), "enum": F.lit(None).cast("string")}
@@ -231,7 +243,7 @@ def page_kpis(pages: DataFrame, catalog: Catalog | None = None, extra: dict | No
         cells.append(F.when(F.col("stage").isin(*stages), cell) if stages else cell)
     out = wide.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_o"))
     out = out.select(*keys, *[F.col("_o")[c].alias(c) for c in ("kpi_id", "value_type", "value_num", "value_bool", "value_str", "reason")])
-    return out.withColumn("assessed", F.col("reason").isNull()).withColumn("source", F.lit("deterministic"))
+    return out
 
 
 def measure_repeats(rows: DataFrame) -> DataFrame:
