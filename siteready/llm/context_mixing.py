@@ -3,7 +3,8 @@
 A text is its lower-cased words and one end. A word is coded as its bytes and a space, the end as a space alone, each
 byte as eight bits from the highest. For every bit five predictors look up counters under hashes of their context:
 the last one, two, three and four bytes of the word and the whole word so far, each with the bits of this byte already
-coded. Their log odds are combined by weights chosen by a gate (the longest context that has been seen, and the bit),
+coded. Their log odds are combined by weights chosen by a gate (how often the whole word so far has been seen or else the longest shorter
+context that has, and the bit),
 and an adaptive map from gate and mixed log odds refines the probability. As each bit is predicted from what comes
 before it, the probabilities of all texts sum to one.
 
@@ -11,7 +12,8 @@ What a word costs follows from its bytes, so everything is learned from and comp
 with their counts: corpus work is one count of words, and it grows with the corpus. Counters are summed over all tasks
 of that table; weights are learned online by each task over its share, from counters without the occurrence being
 predicted, and averaged; the map's counts are summed. The model (``SLOTS`` pairs of counters and a few hundred weights,
-20 MB whatever the corpus) is broadcast.
+52 MB whatever the corpus) is broadcast. Words seen once leave no trace in the counters of whole words so far, which
+could only repeat them and would crowd out those that recur.
 
 Scoring looks up the ``HEAD`` most frequent words in a broadcast table of that many rows; all other words of a document
 are joined with the table of words, where none of them can be hot.
@@ -37,16 +39,17 @@ from siteready.llm.tasks import remainder, stored
 from siteready.llm.words import Words, mix, run_hashes, slices
 
 #: Counters of each context, shortest first, as powers of two.
-BITS = (16, 18, 19, 19, 20)
-BLOCK = 1 << 13
+BITS = (16, 18, 20, 20, 22)
+BLOCK = 1 << 14
 OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in BITS])))
 SLOTS = int(OFFSETS[-1])
 HEAD = 1 << 18
 END = 0  # the name of the end token
 _PRIOR = 0.4
-_STEP = 0.25
+_RIDGE = 100.0  # keeps the first steps small
 _BUCKETS = 33  # of the refining map, over log odds from -8 to 8
-_GATES = (len(BITS) + 1) * 8
+_LEVELS = 14  # of how often the whole word so far has been seen
+_GATES = (len(BITS) + _LEVELS) * 8
 #: Bytes of words that are coded at once.
 _CHUNK = 1 << 15
 
@@ -108,10 +111,29 @@ def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.log((ones + _PRIOR) / (zeros + _PRIOR)), -8.0, 8.0)
 
 
-def _gate(seen: np.ndarray, bit: int) -> np.ndarray:
-    """The longest context seen (0: none) and the bit."""
-    longest = np.where(seen.any(0), len(BITS) - seen[::-1].argmax(0), 0)
-    return longest * 8 + bit
+def _level(counts: np.ndarray) -> np.ndarray:
+    """0 for a context never seen, else from 1 by the power of two of its count."""
+    return np.where(counts > 0, np.minimum(np.log2(np.maximum(counts, 1.0)).astype(np.int64), _LEVELS - 1) + 1, 0)
+
+
+def _gate(seen: np.ndarray, level: np.ndarray, bit: int) -> np.ndarray:
+    """The bit, and the level of the whole word so far or, below it, the longest shorter context seen (0: none)."""
+    shorter = np.where(seen.any(0), len(BITS) - 1 - seen[::-1].argmax(0), 0)
+    return np.where(level > 0, len(BITS) - 1 + level, shorter) * 8 + bit
+
+
+def _start() -> np.ndarray:
+    """Weights before learning: the longest context counts by how often it has been seen, shorter ones share the rest."""
+    shares = np.array([0.05, 0.15, 0.3, 0.5])
+    weights = np.zeros((len(BITS) + _LEVELS, len(BITS)))
+    for gate, row in enumerate(weights):
+        level = gate - len(BITS) + 1
+        longest = min(max(gate, 1), len(shares))
+        row[:longest] = shares[-longest:] / shares[-longest:].sum()
+        if level > 0:
+            row[-1] = 2.0 ** level / (2.0 ** level + 16.0)
+            row[:-1] *= 1.0 - row[-1]
+    return np.repeat(weights, 8, axis=0)
 
 
 def _likely(z: np.ndarray) -> np.ndarray:
@@ -124,6 +146,15 @@ def _bucket(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
+def _planes(counts: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, lowest first: most counts are small, so most planes are zeros and compress."""
+    return counts.astype("<u8").reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.float64)
+
+
 def _count_words(docs: DataFrame) -> DataFrame:
     """hash, word, n (all occurrences), c (those in training rows); the end token as the empty word."""
 
@@ -146,30 +177,31 @@ def _count_words(docs: DataFrame) -> DataFrame:
 
 def _train_counters(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, SLOTS))
+        both = np.zeros((2, SLOTS), np.float64)
         for part, words in _word_batches(batches):
             c = part.column(1).to_numpy().astype(float)
             for _, owner, bits, slots in _coded(words):
-                for k in range(len(BITS)):
-                    size, base = 1 << BITS[k], int(OFFSETS[k])
-                    for bit in (0, 1):
-                        hit = bits == bit
-                        np.add.at(both[bit, base:base + size], slots[k][hit] - base, c[owner[hit]])
+                weight = c[owner]
+                for bit in (0, 1):
+                    hit = bits == bit
+                    for k in range(len(BITS)):
+                        if k == len(BITS) - 1:
+                            hit = hit & (weight > 1)
+                        np.add.at(both[bit], slots[k][hit], weight[hit])
         blocks = np.flatnonzero(both.reshape(2, -1, BLOCK).any((0, 2)))
         for b in blocks:
-            cell = both[:, b * BLOCK:(b + 1) * BLOCK].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([cell.tobytes()])], names=["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_planes(both[:, b * BLOCK:(b + 1) * BLOCK])])], names=["block", "cells"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * BLOCK, np.float64)
         for batch in batches:
             for cells in batch.column(1).to_pylist():
-                total += np.frombuffer(cells, np.float32)
+                total += _unplaned(cells)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()])], names=["block", "cells"])
 
     summed = vocabulary.where("c > 0").select("word", "c").mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary")
     tables = np.zeros((2, SLOTS), np.float32)
-    for row in summed.toArrow().to_pylist():
+    for row in summed.toLocalIterator():
         tables[:, row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["cells"], np.float32).reshape(2, BLOCK)
     return tables[0], tables[1]
 
@@ -179,14 +211,15 @@ def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zeros, ones = shared.value
-        weights = np.full((_GATES, len(BITS)), 0.3)
+        weights = _start()
+        bend = np.tile(np.eye(len(BITS)) * _RIDGE, (_GATES, 1, 1))
         worth, hits = np.zeros(_GATES), np.zeros((2, _GATES, _BUCKETS))
         for part, words in _word_batches(batches):
             c = part.column(1).to_numpy().astype(float)
             for i, owner, bits, slots in _coded(words):
                 n0, n1 = zeros[slots] - (bits == 0), ones[slots] - (bits == 1)
                 n0, n1 = np.maximum(n0, 0.0), np.maximum(n1, 0.0)
-                odds, gate, weight = _odds(n0, n1), _gate(n0 + n1 > 0, i), c[owner]
+                odds, gate, weight = _odds(n0, n1), _gate(n0[:-1] + n1[:-1] > 0, _level(n0[-1] + n1[-1]), i), c[owner]
                 z = (weights[gate] * odds.T).sum(1)
                 low, up = _bucket(z)
                 for bit in (0, 1):
@@ -195,10 +228,13 @@ def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -
                         np.add.at(hits[bit], (gate[hit], at[hit]), (weight * share)[hit])
                 p = _likely(z)
                 worth += np.bincount(gate, weight, _GATES)
+                # A Newton step on all that this task has seen so far, for each gate.
+                slope = np.stack([np.bincount(gate, weight * (bits - p) * x, _GATES) for x in odds], 1)
                 for k in range(len(BITS)):
-                    slope = np.bincount(gate, weight * (bits - p) * odds[k], _GATES)
-                    bend = np.bincount(gate, weight * np.maximum(p * (1 - p), 0.01) * odds[k] ** 2, _GATES)
-                    weights[:, k] += _STEP * slope / np.where(bend > 0, bend * len(BITS), 1.0)
+                    for m in range(k + 1):
+                        bend[:, k, m] += np.bincount(gate, weight * np.maximum(p * (1 - p), 1e-3) * odds[k] * odds[m], _GATES)
+                        bend[:, m, k] = bend[:, k, m]
+                weights += np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
         yield pa.RecordBatch.from_arrays([pa.array([(weights * worth[:, None]).tobytes()]), pa.array([worth.tobytes()]), pa.array([hits.tobytes()])], names=["weights", "worth", "hits"])
 
     weights, worth, hits = np.zeros((_GATES, len(BITS))), np.zeros(_GATES), np.zeros((2, _GATES, _BUCKETS))
@@ -208,7 +244,7 @@ def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -
         worth += np.frombuffer(row["worth"])
         hits += np.frombuffer(row["hits"]).reshape(hits.shape)
     shared.unpersist()
-    weights = np.where(worth[:, None] > 0, weights / np.where(worth > 0, worth, 1.0)[:, None], 0.3)
+    weights = np.where(worth[:, None] > 0, weights / np.where(worth > 0, worth, 1.0)[:, None], _start())
     # Each bucket starts as its own log odds, worth a few sightings.
     own = _likely(np.linspace(-8.0, 8.0, _BUCKETS))
     refined = np.log((hits[1] + 4 * own) / (hits[0] + 4 * (1 - own)))
@@ -222,7 +258,8 @@ def train(vocabulary: DataFrame) -> Model:
 
 def _score_words(vocabulary: DataFrame, model: Model) -> DataFrame:
     """vocabulary with logp: log10 of the model's probability of each word."""
-    odds, seen = _odds(model.zeros, model.ones).astype(np.float32), model.zeros + model.ones > 0
+    odds, seen = _odds(model.zeros, model.ones).astype(np.float32), model.zeros + model.ones
+    seen = np.concatenate((seen[: OFFSETS[-2]] > 0, _level(seen[OFFSETS[-2]:]))).astype(np.uint8)
     shared = vocabulary.sparkSession.sparkContext.broadcast((odds, seen, model.weights, model.refined))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +267,8 @@ def _score_words(vocabulary: DataFrame, model: Model) -> DataFrame:
         for part, words in _word_batches(batches):
             cost = np.zeros(len(words))
             for i, owner, bits, slots in _coded(words):
-                gate = _gate(seen[slots], i)
+                known = seen[slots]
+                gate = _gate(known[:-1] > 0, known[-1].astype(np.int64), i)
                 z = (weights[gate] * odds[slots].T).sum(1)
                 low, up = _bucket(z)
                 r = refined[gate, low] * (1 - up) + refined[gate, low + 1] * up
