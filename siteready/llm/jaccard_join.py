@@ -16,8 +16,8 @@ Equal sets are one class from the start. Within a shingle's list all members fir
 member with the smallest share of unshared shingles, which in a group of near copies is the text they come from).
 Verified links give components, found by repeated joins. Only members of lists that still hold several components
 then meet each other, across components: this is the exact rest, and a large group of near copies never forms pairs
-among itself once its members share a component. Pairs that cannot reach the threshold by their sizes and numbers of
-shared shingles are never made.
+among itself once its members share a component. Pairs that cannot reach the threshold by their sizes and the positions of
+a shared shingle are never made.
 
 Nothing of the size of the corpus is broadcast; all tables between steps are in the shared folder.
 
@@ -104,7 +104,7 @@ def _screened(sets: DataFrame, percent: int) -> DataFrame:
 
 def _prefixed(whole: DataFrame, percent: int) -> DataFrame:
     """fp, n, free (unshared shingles), tokens (the others, rarest first), matches (l), length (of the prefix in
-    tokens); without the classes whose prefix holds no shared shingle."""
+    tokens), first (its length for one match); without the classes whose prefix holds no shared shingle."""
     each = whole.select("fp", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     lists = each.join(often, "token").groupBy("fp", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
@@ -116,12 +116,13 @@ def _prefixed(whole: DataFrame, percent: int) -> DataFrame:
     cost = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_MATCHES), "need")), lambda m: F.struct(
         (F.aggregate(F.slice("weights", F.lit(1), F.col("slack") + m), F.lit(0.0), lambda a, x: a + x) * (1 + F.col("n") * VERIFY / m)).alias("cost"), m.alias("matches")))
     best = F.array_min(cost)["matches"]
-    return open_.withColumn("weights", weights).select("fp", "n", "free", F.transform("shared", lambda s: s["token"]).alias("tokens"), best.alias("matches"), (F.col("slack") + best).alias("length"))
+    return open_.withColumn("weights", weights).select("fp", "n", "free", F.transform("shared", lambda s: s["token"]).alias("tokens"), best.alias("matches"), (F.col("slack") + best).alias("length"), (F.col("slack") + 1).alias("first"))
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and unshared shingles leave room for a link: overlap >= percent / (100 + percent) * (n1 + n2)."""
-    room = F.least(F.col(f"{a}n") - F.col(f"{a}free"), F.col(f"{b}n") - F.col(f"{b}free"))
+    """Whether the pair can link if this is the first shingle that both have: what follows it in the shorter rest must
+    reach the overlap percent / (100 + percent) * (n1 + n2). A linked pair's first shared shingle always passes."""
+    room = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + 1
     return room * (100 + percent) >= (F.col(f"{a}n") + F.col(f"{b}n")) * percent
 
 
@@ -159,17 +160,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("w", F.xxhash64("text"))
     whole = texts.join(small_side(one, screened.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("w") == F.col("v")))
     candidates = stored(_prefixed(stored(_whole_sets(whole.select("fp", "n", "text"), width), "join-whole"), percent), "join-candidates")
-    lists = candidates.select("fp", "n", "free", F.explode(F.slice("tokens", 1, F.col("length"))).alias("token"))
+    # The first shingle that a linked pair shares lies in both prefixes for one match.
+    lists = candidates.select("fp", "n", "free", F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("at", "token")).withColumn("pos", F.col("free") + F.col("at") + 1)
 
-    leader = lists.groupBy("token").agg(F.min(F.struct((F.col("free") / F.col("n")).alias("share"), "fp", "n", "free")).alias("l"), F.count("*").alias("members")).where("members > 1")
-    stars = lists.join(leader.select("token", F.col("l.fp").alias("a"), F.col("l.n").alias("an"), F.col("l.free").alias("afree")), "token").select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("free").alias("bfree"), "a", "an", "afree")
+    leader = lists.groupBy("token").agg(F.min(F.struct((F.col("free") / F.col("n")).alias("share"), "fp", "n", "pos")).alias("l"), F.count("*").alias("members")).where("members > 1")
+    stars = lists.join(leader.select("token", F.col("l.fp").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos")), "token").select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), "a", "an", "apos")
     first = stored(_verified(stars.where(F.col("a") != F.col("b")).where(_possible("a", "b", percent)).select("a", "b").distinct(), candidates, percent), "join-links")
     labels = components(first)
 
     labelled = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     rest = stored(labelled.join(mixed, "token"), "join-rest")
-    side = lambda p: rest.select("token", F.col("fp").alias(p), F.col("n").alias(f"{p}n"), F.col("free").alias(f"{p}free"), F.col("label").alias(f"{p}label"))
+    side = lambda p: rest.select("token", F.col("fp").alias(p), F.col("n").alias(f"{p}n"), F.col("pos").alias(f"{p}pos"), F.col("label").alias(f"{p}label"))
     across = side("a").join(side("b"), "token").where((F.col("alabel") < F.col("blabel")) & _possible("a", "b", percent)).select("a", "b").distinct()
     second = stored(_verified(across, candidates, percent), "join-links")
     labels = components(first.unionByName(second))
