@@ -235,14 +235,16 @@ def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -
                         bend[:, k, m] += np.bincount(gate, weight * np.maximum(p * (1 - p), 1e-3) * odds[k] * odds[m], _GATES)
                         bend[:, m, k] = bend[:, k, m]
                 weights += np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
-        yield pa.RecordBatch.from_arrays([pa.array([(weights * worth[:, None]).tobytes()]), pa.array([worth.tobytes()]), pa.array([hits.tobytes()])], names=["weights", "worth", "hits"])
-
-    weights, worth, hits = np.zeros((_GATES, len(BITS))), np.zeros(_GATES), np.zeros((2, _GATES, _BUCKETS))
-    # A few kilobytes from each task, read one after the other.
-    for row in vocabulary.where("c > 0").select("word", "c").mapInArrow(learn, "weights binary, worth binary, hits binary").toLocalIterator():
-        weights += np.frombuffer(row["weights"]).reshape(weights.shape)
-        worth += np.frombuffer(row["worth"])
-        hits += np.frombuffer(row["hits"]).reshape(hits.shape)
+        learned = np.concatenate(((weights * worth[:, None]).ravel(), worth, hits.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(learned), dtype=np.int32)), pa.array(learned)], names=["at", "value"])
+
+    sizes = np.cumsum([_GATES * len(BITS), _GATES])
+    learned = np.zeros(sizes[-1] + 2 * _GATES * _BUCKETS)
+    # Some ten thousand numbers, summed over all tasks.
+    summed = vocabulary.where("c > 0").select("word", "c").mapInArrow(learn, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    learned[summed["at"].to_numpy()] = summed["value"].to_numpy()
+    weights, worth, hits = np.split(learned, sizes)
+    weights, hits = weights.reshape(_GATES, len(BITS)), hits.reshape(2, _GATES, _BUCKETS)
     shared.unpersist()
     weights = np.where(worth[:, None] > 0, weights / np.where(worth > 0, worth, 1.0)[:, None], _start())
     # Each bucket starts as its own log odds, worth a few sightings.

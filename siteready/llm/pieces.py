@@ -188,7 +188,7 @@ class Pieces:
                 ends = self._by_surface(text.decode())
             else:
                 ends = np.cumsum(self.lengths[ids])
-            starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+            starts = np.concatenate(([0], ends))[:-1].astype(np.int64)
             yield ids, origin[starts].astype(np.int32), origin[ends].astype(np.int32)
 
     def _by_surface(self, text: str) -> np.ndarray:

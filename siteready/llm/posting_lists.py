@@ -40,8 +40,8 @@ PART_ROWS = 2048
 REPLICATE = 0.01
 REPLICAS = 4
 SPREAD = 0.25
-PROBE = 0.12
-BEAM_SHARE = 0.8
+PROBE = 0.18
+BEAM_SHARE = 0.9
 
 
 @dataclass
