@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are turned into arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,7 +46,7 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) <= n:
-        _POW, _INV = _powers(_BASE, 2 * n), _powers(_BASE_INV, 2 * n)
+        _POW, _INV = _powers(_BASE, n + n // 4), _powers(_BASE_INV, n + n // 4)
     return _POW, _INV
 
 
