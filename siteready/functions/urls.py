@@ -46,14 +46,25 @@ def is_web(url: Column) -> Column:
     return scheme(url).isin("http", "https")
 
 
+def _decoded(part: Column) -> Column:
+    """A query key or value as text; one that is no valid encoding stays."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    """Form encoding: blanks as +, and letters, digits and _.-~ as they are."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def page_key(url: Column) -> Column:
-    """The page a web URL shows: scheme and host lower-cased, fragment dropped, query keys sorted, empty path "/".
+    """The page a web URL shows: scheme and host lower-cased, fragment dropped, query pairs decoded, sorted by key and
+    value and encoded again, empty path "/".
 
     Anything that is not http(s) has no page and gives null.
     """
     parts = F.filter(F.split(query(url), "&"), lambda p: p != "")
-    pairs = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    q = F.concat_ws("&", F.array_sort(pairs))
+    pairs = F.transform(parts, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    q = F.concat_ws("&", F.transform(F.array_sort(pairs), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))))
     p = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
     base = F.concat(scheme(url), F.lit("://"), F.lower(authority(url)), p)
     return F.when(is_web(url), F.when(q == "", base).otherwise(F.concat(base, F.lit("?"), q)))

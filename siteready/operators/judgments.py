@@ -74,14 +74,14 @@ def check_verdicts(verdicts: DataFrame, tasks: DataFrame, snippets: DataFrame, e
     """Verdicts with `problem`: the first reason that refuses them, or null.
 
     evidence: verdict_id, item, snippet_id, quote (exploded). snippets: run_id, task_id, snippet_id, text. Quotes must
-    stand in their snippet, whatever their letter case.
+    stand in their snippet, whatever their letter case and Unicode form.
     """
     known = tasks.select("run_id", "task_id", "labels", F.lit(True).alias("known"))
     v = verdicts.join(known, ["run_id", "task_id"], "left")
     e = (evidence.join(verdicts.select("verdict_id", "run_id", "task_id"), "verdict_id")
          .join(snippets.select("run_id", "task_id", "snippet_id", F.col("text").alias("_t")),
                ["run_id", "task_id", "snippet_id"], "left"))
-    quote, text = T.fold(F.col("quote")), T.fold(F.col("_t"))
+    quote, text = T.fold(T.nfc(F.col("quote"))), T.fold(T.nfc(F.col("_t")))
     bad = (F.when(F.col("_t").isNull(), F.lit("unknown_snippet"))
            .when(F.coalesce(quote == "", F.lit(True)), F.lit("empty_quote"))
            .when(~F.contains(text, quote), F.lit("quote_not_verbatim"))

@@ -59,12 +59,12 @@ def sneak_into_basket(lines: DataFrame, added: DataFrame) -> DataFrame:
     lines: run_id, line_id, title, price_value, addon. added: run_id, title. A line is the shopper's when it names the
     added item; an add-on named after the item is not.
     """
-    a = added.select("run_id", T.fold(F.col("title")).alias("_an"), T.item_tokens(F.col("title")).alias("_at"))
+    # A run's few added titles travel as one list, so that a line counts once however many there are.
+    a = added.groupBy("run_id").agg(F.collect_set(F.struct(T.fold(F.col("title")).alias("n"), T.item_tokens(F.col("title")).alias("t"))).alias("_added"))
     j = lines.join(a, "run_id")
     norm, tok = T.fold(F.col("title")), T.item_tokens(F.col("title"))
-    named = T.same_item(norm, F.col("_an"), tok, F.col("_at"))
-    ours = named & (~F.col("addon") | (F.size(F.array_except(tok, F.col("_at"))) == 0))
-    j = j.withColumn("ours", F.coalesce(ours, F.lit(False)))
+    mine = lambda x: F.coalesce(T.same_item(norm, x["n"], tok, x["t"]) & (~F.col("addon") | (F.size(F.array_except(tok, x["t"])) == 0)), F.lit(False))
+    j = j.withColumn("ours", F.exists("_added", mine))
     extra = ~F.col("ours") & (F.coalesce("price_value", F.lit(0.0)) > 0)
     g = j.groupBy("run_id").agg(F.max("ours").alias("_ours"), F.count_if(extra).alias("unrequested"), F.max(extra & F.col("addon")).alias("_addon"))
     conf = F.when(F.col("unrequested") == 0, 0.0).when(F.col("_addon"), 1.0).otherwise(0.8)

@@ -72,10 +72,10 @@ def prepare_rows(obs: DataFrame, catalog: Catalog) -> DataFrame:
     rows = rows.withColumn("truth", F.when(F.col("usable"), F.coalesce(N.truthy(*value), F.lit(False))))
     rows = rows.withColumn("why", F.coalesce("reason", F.lit("not_assessable")))
     rows = rows.withColumn("na", F.startswith("why", F.lit(K.NOT_APPLICABLE)))
-    weight = F.lit(1)
+    weight = F.lit(1.0)
     for stage, w in catalog.stage_weights.items():
-        weight = F.when(F.col("stage") == stage, F.lit(int(w))).otherwise(weight)
-    rows = rows.withColumn("w", F.when(F.col("aggregate_mode") == "wmedian", weight).otherwise(F.lit(1)).cast("long"))
+        weight = F.when(F.col("stage") == stage, F.lit(float(w))).otherwise(weight)
+    rows = rows.withColumn("w", F.when(F.col("aggregate_mode") == "wmedian", weight).otherwise(F.lit(1.0)))
     by_median = F.col("aggregate_mode").isin("wmedian", "median") & F.col("x").isNotNull()
     return rows.withColumn("bucket", F.when(by_median, value_bucket(F.col("x"))).otherwise(F.lit(0).cast("long")))
 

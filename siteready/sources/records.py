@@ -10,9 +10,10 @@ from siteready import schema as S
 from siteready.functions.urls import host_slug
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run documents, one JSON document per file or line; an unreadable one stays as a row with _corrupt set."""
-    return spark.read.schema(S.ddl(S.RUN + ", _corrupt string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Run documents, one (indented) JSON document per file, or one per line; an unreadable one stays as a row with
+    _corrupt set."""
+    return spark.read.schema(S.ddl(S.RUN + ", _corrupt string")).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
 def normalise(runs: DataFrame) -> dict[str, DataFrame]:
@@ -55,8 +56,10 @@ def read_steps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_steps(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Step lines as a stream: one new file per flushed batch."""
-    return spark.readStream.schema(S.ddl(S.STEP)).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    """Step lines as a stream: one new file per flushed batch; torn lines and lines that are no object are skipped."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    docs = lines.withColumn("_v", F.try_parse_json("value")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
+    return docs.select("_file", F.from_json("value", S.ddl(S.STEP)).alias("s")).select("_file", "s.*")
 
 
 def read_net_events(spark: SparkSession, path: str) -> DataFrame:

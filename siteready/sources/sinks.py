@@ -1,4 +1,4 @@
-"""Sinks: fact tables whose partitions are replaced, report documents, task exchange."""
+"""Sinks: fact tables whose runs are replaced, report documents, task exchange."""
 
 from __future__ import annotations
 
@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from siteready.dims import constants as K
 
 
-def write_facts(df: DataFrame, path: str, partition: str = "run_date", buckets: str | None = None) -> None:
-    """Replaces only the partitions the rows fall into. Rows of one partition are spread over files by run."""
-    rows = df.repartition(F.col(partition), F.hash("run_id") % 32) if buckets is None else df.repartition(F.col(buckets))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def write_facts(df: DataFrame, path: str, write_id: int, partition: str = "run_date") -> None:
+    """Adds the runs' rows under a write number; read_facts then gives these instead of the runs' earlier rows.
+
+    Nothing that is there is rewritten or deleted: other runs of the same date stay, and a write that fails leaves all
+    as it was. Write numbers must grow.
+    """
+    rows = df.withColumn("write_id", F.lit(write_id).cast("long")).hint("rebalance", partition)
+    rows.write.mode("append").partitionBy(partition).parquet(path)
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Each run's rows of its newest write."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy("run_id").agg(F.max("write_id").alias("write_id"))
+    return rows.join(newest, ["run_id", "write_id"], "left_semi")
 
 
 def report_pages(pages: DataFrame) -> DataFrame:

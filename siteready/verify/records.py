@@ -27,7 +27,7 @@ def _runs(spark, d):
         F.array_sort(F.collect_list(page)).alias("pages"), F.flatten(F.collect_list("obs")).alias("observations"), F.lit("complete").alias("status"))
     path = shared_dir(spark, "runs")
     runs.write.json(path)
-    return Rec.read_runs(spark, path)
+    return Rec.read_runs(spark, path, lines=True)
 
 
 @query("src_01_read_runs", "SELECT CAST(o_custkey AS VARCHAR) AS run_id, count(*) AS pages, 'complete' AS status FROM orders GROUP BY o_custkey")
@@ -56,7 +56,8 @@ def _(spark, d):
 def _(spark, d):
     from siteready.streaming.streams import drain
     path = shared_dir(spark, "stepstream")
-    table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("int").alias("step")).repartition(4).write.json(path)
+    table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("int").alias("step")).select(
+        F.explode(F.array(F.to_json(F.struct("run_id", "step")), F.when(F.col("step") % 7 == 0, '{"run_id": "1", "st').when(F.col("step") % 7 == 1, "[1, 2]").otherwise(""))).alias("value")).repartition(4).write.text(path)
     return drain(Rec.stream_steps(spark, path, 2).select("run_id", "step"), "steps").groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"))
 
 
@@ -109,13 +110,15 @@ def _(spark, d):
     return Rec.newest_per_host(_catalogue(spark, d), 2).select("run_id", "host", "rank")
 
 
-@query("snk_01_replace_partitions", "SELECT o_orderstatus AS run_date, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS replaced FROM orders GROUP BY 1")
+@query("snk_01_replace_runs", "SELECT o_orderstatus AS run_date, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0) AS replaced, count(DISTINCT o_orderkey) AS runs FROM orders GROUP BY 1")
 def _(spark, d):
+    # two rows a run at first; some runs of one date among many are written again with one
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("run_date"), F.lit(0).alias("version"))
     path = shared_dir(spark, "facts")
-    Snk.write_facts(o, path)
-    Snk.write_facts(o.where("run_date = 'F'").withColumn("version", F.lit(1)), path)
-    return spark.read.parquet(path).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("replaced"))
+    again = (F.col("run_date") == "F") & (F.col("run_id") % 5 == 0)
+    Snk.write_facts(o.unionByName(o.where(again)), path, 1)
+    Snk.write_facts(o.where(again).withColumn("version", F.lit(1)), path, 2)
+    return Snk.read_facts(spark, path).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("replaced"), F.count_distinct("run_id").alias("runs"))
 
 
 def _report_pages(spark, d):
