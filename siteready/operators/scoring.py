@@ -67,15 +67,16 @@ def prepare_rows(obs: DataFrame, catalog: Catalog) -> DataFrame:
     present = (F.when(F.col("value_type") == "number", F.col("value_num").isNotNull())
                .when(F.col("value_type") == "bool", F.col("value_bool").isNotNull())
                .otherwise(F.col("value_str").isNotNull()))
-    rows = rows.withColumn("usable", F.coalesce(F.col("assessed"), F.lit(True)) & F.coalesce(present, F.lit(False)))
-    rows = rows.withColumn("x", F.when(F.col("usable"), N.as_number(*value[:3], is_conf)))
-    rows = rows.withColumn("truth", F.when(F.col("usable"), F.coalesce(N.truthy(*value), F.lit(False))))
-    rows = rows.withColumn("why", F.coalesce("reason", F.lit("not_assessable")))
-    rows = rows.withColumn("na", F.startswith("why", F.lit(K.NOT_APPLICABLE)))
+    rows = rows.withColumns({"usable": F.coalesce(F.col("assessed"), F.lit(True)) & F.coalesce(present, F.lit(False)),
+                             "why": F.coalesce("reason", F.lit("not_assessable"))})
     weight = F.lit(1.0)
     for stage, w in catalog.stage_weights.items():
         weight = F.when(F.col("stage") == stage, F.lit(float(w))).otherwise(weight)
-    rows = rows.withColumn("w", F.when(F.col("aggregate_mode") == "wmedian", weight).otherwise(F.lit(1.0)))
+    rows = rows.withColumns({
+        "x": F.when(F.col("usable"), N.as_number(*value[:3], is_conf)),
+        "truth": F.when(F.col("usable"), F.coalesce(N.truthy(*value), F.lit(False))),
+        "na": F.startswith("why", F.lit(K.NOT_APPLICABLE)),
+        "w": F.when(F.col("aggregate_mode") == "wmedian", weight).otherwise(F.lit(1.0))})
     by_median = F.col("aggregate_mode").isin("wmedian", "median") & F.col("x").isNotNull()
     return rows.withColumn("bucket", F.when(by_median, value_bucket(F.col("x"))).otherwise(F.lit(0).cast("long")))
 
@@ -228,15 +229,15 @@ def _pooled(df: DataFrame) -> DataFrame:
               .when(mode.isin("median", "wmedian"), F.col("median_x")))
     truth = F.when(mode == "any", F.col("any_true")).when(mode == "all", F.col("all_true"))
     numeric = mode.isin(*NUMERIC_MODES)
-    return (df.withColumn("_n", N.tidy(number))
-            .withColumn("_c", chosen)
-            .withColumn("value_type", F.when(numeric & (F.col("n_num") > 0), F.lit("number"))
-                        .when(mode.isin("any", "all"), F.lit("bool")).otherwise(F.col("_c.value_type")))
-            .withColumn("value_num", F.when(numeric, F.col("_n")).otherwise(F.col("_c.value_num")))
-            .withColumn("value_bool", F.when(mode.isin("any", "all"), truth).otherwise(F.col("_c.value_bool")))
-            .withColumn("value_str", F.col("_c.value_str"))
-            .withColumn("chosen_source", F.col("_c.source")).withColumn("chosen_reason", F.col("_c.why"))
-            .drop("_n", "_c"))
+    boolean = mode.isin("any", "all")
+    # the number and the chosen row become columns first: rounding repeats its argument
+    return (df.withColumns({"_raw": number, "_c": chosen}).withColumns({
+        "value_type": F.when(numeric & (F.col("n_num") > 0), F.lit("number")).when(boolean, F.lit("bool"))
+        .otherwise(F.col("_c.value_type")),
+        "value_num": F.when(numeric, N.tidy(F.col("_raw"))).otherwise(F.col("_c.value_num")),
+        "value_bool": F.when(boolean, truth).otherwise(F.col("_c.value_bool")),
+        "value_str": F.col("_c.value_str"), "chosen_source": F.col("_c.source"), "chosen_reason": F.col("_c.why")})
+        .drop("_raw", "_c"))
 
 
 def aggregate_kpis(obs: DataFrame, catalog: Catalog | None = None, extra: DataFrame | None = None) -> DataFrame:
@@ -263,18 +264,19 @@ def aggregate_kpis(obs: DataFrame, catalog: Catalog | None = None, extra: DataFr
     candidate = (is_profile & (F.col("own_usable") > 0) & ~F.coalesce(own_dropped, F.lit(False))
                  & F.col("anchor_score").isNotNull())
     used = is_profile & (F.col("own_usable") > 0) & ~F.coalesce(own_dropped, F.lit(False))
-    worst = F.min(F.when(candidate, F.struct("anchor_score", "own_use_ord", *VALUE, "chosen_source", "chosen_reason",
+    worst = F.min(F.when(F.col("_candidate"), F.struct("anchor_score", "own_use_ord", *VALUE, "chosen_source", "chosen_reason",
                                              F.col("scope").alias("at"), "mapped")))
-    g = (g.withColumn("own_dropped", F.coalesce(own_dropped, F.lit(False)))
-         .withColumn("_names", F.count_if(named).over(w))
-         .withColumn("_used", F.count_if(used).over(w))
-         .withColumn("_worst", worst.over(w))
-         .withColumn("_dropped", F.count_if(F.col("own_dropped")).over(w))
-         .withColumn("_own", F.sum(F.when(is_profile, F.col("own_usable"))).over(w))
-         .withColumn("_kept_own", F.sum(F.when(is_profile & ~F.col("own_dropped"), F.col("own_usable"))).over(w))
-         .withColumn("_first_pending", F.min(F.when(F.col("own_dropped"), F.struct(
-             "own_row_ord", F.col("pending.why").alias("why")))).over(w)))
-    other = F.when(candidate & (F.col("scope") != F.col("_worst.at")), F.col("anchor_score"))
+    g = g.withColumns({"own_dropped": F.coalesce(own_dropped, F.lit(False)), "_candidate": candidate, "_is_used": used})
+    g = g.withColumns({
+        "_names": F.count_if(named).over(w),
+        "_used": F.count_if("_is_used").over(w),
+        "_worst": worst.over(w),
+        "_dropped": F.count_if("own_dropped").over(w),
+        "_own": F.sum(F.when(is_profile, F.col("own_usable"))).over(w),
+        "_kept_own": F.sum(F.when(is_profile & ~F.col("own_dropped"), F.col("own_usable"))).over(w),
+        "_first_pending": F.min(F.when(F.col("own_dropped"), F.struct(
+            "own_row_ord", F.col("pending.why").alias("why")))).over(w)})
+    other = F.when(F.col("_candidate") & (F.col("scope") != F.col("_worst.at")), F.col("anchor_score"))
     g = g.withColumn("_second", F.min(other).over(w))
 
     overall = ~is_profile
@@ -283,22 +285,22 @@ def aggregate_kpis(obs: DataFrame, catalog: Catalog | None = None, extra: DataFr
         overall & (F.col("_names") > 0), (F.col("_dropped") == F.col("_names")) | (kept == 0)).otherwise(F.col("dropped"))
     g = g.withColumn("none_left", F.coalesce(none_left, F.lit(False)))
     split = overall & (F.col("owner") != K.RISK_INDEX) & (F.col("_used") > 1) & F.col("_worst").isNotNull()
-    for c in (*VALUE, "chosen_source", "chosen_reason", "anchor_score", "mapped"):
-        g = g.withColumn(c, F.when(split, F.col(f"_worst.{c}")).otherwise(F.col(c)))
-    strictly = split & F.col("_second").isNotNull() & (F.col("_worst.anchor_score") < F.col("_second") - K.TOLERANCE)
+    g = g.withColumns({"_split": F.coalesce(split, F.lit(False)), **{
+        c: F.when(split, F.col(f"_worst.{c}")).otherwise(F.col(c))
+        for c in (*VALUE, "chosen_source", "chosen_reason", "anchor_score", "mapped")}})
+    strictly = F.col("_split") & F.col("_second").isNotNull() & (F.col("_worst.anchor_score") < F.col("_second") - K.TOLERANCE)
     valued = F.col("value_type").isNotNull()
     no_rows = F.col("n_usable") == 0
     assessed = ~no_rows & ~F.col("none_left") & valued
     pending = F.when(overall & (F.col("_names") > 0), F.col("_first_pending.why")).otherwise(F.col("pending.why"))
     reason = (F.when(no_rows, F.col("worst_reason.why")).when(F.col("none_left"), pending)
               .when(~valued, F.lit("invalid_value")))
-    g = (g.withColumn("assessed", assessed).withColumn("reason", reason)
-         .withColumn("worst_profile", F.when(strictly & assessed, F.col("_worst.at"))))
-    for c in (*VALUE, "chosen_source", "chosen_reason", "anchor_score"):
-        g = g.withColumn(c, F.when(F.col("assessed"), F.col(c)))
+    g = g.withColumns({"assessed": assessed, "reason": reason, "_strictly": strictly})
+    kept_values = {c: F.when(F.col("assessed"), F.col(c)) for c in (*VALUE, "chosen_source", "chosen_reason", "anchor_score")}
     journey = F.when(overall, F.size("journey_profiles") > 0).otherwise(
         F.array_contains("journey_profiles", F.col("scope")) | F.array_contains("journey_profiles", F.lit("")))
-    return g.withColumn("journey", journey).select(
+    worst_profile = F.when(F.col("_strictly") & F.col("assessed"), F.col("_worst.at"))
+    return g.withColumns({**kept_values, "journey": journey, "worst_profile": worst_profile}).select(
         "run_id", "scope", "kpi_id", "owner", "kpi_scope", "aggregate_mode", "kpi_type", "weight", "judged", "severity",
         "credit_unless", "has_points", "has_map", *VALUE, "anchor_score", "mapped", "assessed", "reason",
         "worst_profile", "chosen_source", "chosen_reason", "n_rows", "n_usable", "judged_source", "strongest",

@@ -52,7 +52,7 @@ def _needed(sql: str, found: list[str]) -> None:
 def duck_sql(sql: str) -> str:
     names: list[str] = []
     _needed(sql, names)
-    ctes = [f"{n} AS ({(VIEWS.get(n) or DUCK_VIEWS.get(n)).strip()})" for n in names]
+    ctes = [f"{n} AS MATERIALIZED ({(VIEWS.get(n) or DUCK_VIEWS.get(n)).strip()})" for n in names]
     body = sql.strip()
     if ctes and body[:15].upper() == "WITH RECURSIVE ":
         out = "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]

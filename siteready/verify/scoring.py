@@ -12,32 +12,36 @@ from siteready.operators.quantiles import weighted_median
 from siteready.verify.base import duck_view, half_even, query, spark_view, table, view
 
 CAT = default_catalog()
-# 16 KPIs that cover every aggregate mode
-IDS = ["PERF.LCP", "PERF.CONSOLE_ERRORS", "PERF.CLS_POST_INPUT", "PERF.ACTION_RESPONSE_MS", "FAI.CHECKOUT_FIELDS",
-       "FAI.AUTOCOMPLETE_ATTRS", "FAI.GUEST_CHECKOUT", "TRI.HTTPS", "TRI.RATING_BAND", "TRI.RETURNS_CLARITY",
-       "DPR.COUNTDOWN_RESET", "MPI.URGENCY_SIGNALS", "CCL.CTA_SALIENCE", "FAI.PDP_VARIANT_SELECTOR",
-       "FAI.FORCED_ACCOUNT", "DPR.CONFIRMSHAMING"]
-_TYPES = ["number"] * 6 + ["bool", "bool", "enum", "enum", "number", "number", "number", "enum", "bool", "number"]
 
+
+def _kpi_rows() -> str:
+    """Per KPI of the registry: how the checks spread values over its anchor points or keys."""
+    rows = []
+    for i, k in enumerate(CAT.kpis.values()):
+        xs = [x for x, _ in k.points] or [0.0, 1.0]
+        keys = "|".join([key for key, _ in k.mapping] + ["other"]) if k.value_type == "enum" else ""
+        rows.append(f"({i}, '{k.id}', '{k.value_type}', '{k.scope}', {str(k.judged).lower()}, CAST({min(xs)} AS DOUBLE), CAST({max(xs)} AS DOUBLE), '{keys}', {len(k.mapping) + 1})")
+    return ",\n".join(rows)
+
+
+# Every KPI of the registry. A run is a supplier; every fourth lacks half of its rows, every third shows no risk, some
+# have no judged rows or no journey. Numbers run a little past both ends of their anchors, in steps of 1/8.
+view("v_kdim", f"SELECT * FROM (VALUES {_kpi_rows()}) AS t(k, kpi_id, kind, kscope, judged, lo, hi, keys, n_keys)")
 view("v_obs", f"""
-SELECT run_id, ord, split_part('{"|".join(IDS)}', '|', k + 1) AS kpi_id, page_id, profile, stage, qty > 5 AS assessed,
-  CASE WHEN k = 9 OR k = 15 THEN 'judged' ELSE 'deterministic' END AS source,
-  CASE WHEN qty > 5 THEN NULL WHEN qty <= 2 THEN 'not_applicable:no_data' WHEN qty <= 4 THEN 'timeout'
-    ELSE 'not_reached' END AS reason,
-  CASE WHEN qty > 5 THEN split_part('{"|".join(_TYPES)}', '|', k + 1) END AS value_type,
-  CASE WHEN qty > 5 THEN CASE k WHEN 0 THEN floor(price / 10) WHEN 1 THEN qty WHEN 2 THEN disc * 4 WHEN 3 THEN floor(price / 20)
-    WHEN 4 THEN floor(qty / 2) WHEN 5 THEN qty * 2 WHEN 10 THEN disc * 10 WHEN 11 THEN floor(qty / 20)
-    WHEN 12 THEN floor(price / 1000) WHEN 15 THEN disc * 5 END END AS value_num,
-  CASE WHEN qty > 5 THEN CASE k WHEN 6 THEN qty > 45 WHEN 7 THEN qty > 12 WHEN 14 THEN qty > 40 END END AS value_bool,
-  CASE WHEN qty > 5 THEN CASE k
-    WHEN 8 THEN split_part('other|<3.5|4.0-4.7|4.0-4.7|4.8-5.0', '|', 1 + CAST(floor((qty - 1) / 10) AS INT))
-    WHEN 9 THEN CASE WHEN qty > 45 THEN 'clear' WHEN qty > 20 THEN 'vague' ELSE 'absent' END
-    WHEN 13 THEN CASE WHEN qty > 40 THEN 'buttons' WHEN qty > 30 THEN 'select' ELSE 'none' END END END AS value_str
-FROM (SELECT l_partkey AS run_id, l_linenumber * 100000000000 + l_orderkey * 10000 + l_suppkey AS ord,
-    CAST(l_orderkey % 16 AS INT) AS k, concat('p', CAST(l_linenumber AS VARCHAR(2))) AS page_id,
+SELECT run_id, ord, kpi_id, page_id, profile, stage, ok AS assessed, CASE WHEN judged THEN 'judged' ELSE 'deterministic' END AS source,
+  CASE WHEN ok THEN NULL WHEN qty <= 2 THEN 'not_applicable:no_data' WHEN qty <= 4 THEN 'timeout' ELSE 'not_reached' END AS reason,
+  CASE WHEN ok THEN CASE WHEN kind IN ('bool', 'enum') THEN kind ELSE 'number' END END AS value_type,
+  CASE WHEN NOT ok THEN NULL WHEN kind = 'confidence' THEN CASE WHEN run_id % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE disc * 10 END
+    WHEN kind = 'number' THEN floor((lo + (hi - lo) * (qty - 10) / 45) * 8) / 8 END AS value_num,
+  CASE WHEN ok AND kind = 'bool' THEN qty > 12 END AS value_bool,
+  CASE WHEN ok AND kind = 'enum' THEN split_part(keys, '|', 1 + CAST(qty % n_keys AS INT)) END AS value_str
+FROM (SELECT s.*, d.*, qty > 4 + run_id % 3 AS ok FROM (
+   SELECT l_suppkey AS run_id, l_linenumber * 100000000000 + l_orderkey * 10000 + l_suppkey AS ord,
+    CAST((l_orderkey + l_partkey * 3 + l_linenumber * 31) % {len(CAT.kpis)} AS INT) AS kk, concat('p', CAST(l_linenumber AS VARCHAR(2))) AS page_id,
     CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linestatus = 'O' THEN 'mobile' ELSE 'desktop' END AS profile,
     CASE l_returnflag WHEN 'A' THEN 'pdp' WHEN 'N' THEN 'plp' ELSE 'cart' END AS stage,
-    l_quantity AS qty, l_extendedprice AS price, l_discount AS disc FROM lineitem) s
+    l_quantity AS qty, l_discount AS disc FROM lineitem) s JOIN v_kdim d ON d.k = s.kk) r
+WHERE NOT (run_id % 4 = 0 AND k % 2 = 1) AND NOT (run_id % 5 = 1 AND judged) AND NOT (run_id % 5 = 2 AND kscope = 'journey')
 """)
 
 # ---------------------------------------------------------------- DuckDB dimensions written from the same catalog
@@ -99,6 +103,7 @@ SELECT run_id, kpi_id, scope, any_value(owner) owner, any_value(kscope) kscope,
   coalesce(arg_min(reason, ord) FILTER (WHERE NOT usable AND NOT starts_with(reason, 'not_applicable')), arg_min(reason, ord) FILTER (WHERE NOT usable)) why,
   bool_or(usable AND source = 'judged') judged_source,
   coalesce(arg_min(value_str, ord) FILTER (WHERE usable AND rscore IS NOT NULL), arg_min(value_str, ord) FILTER (WHERE usable)) first_s,
+  arg_min(value_num, ord) FILTER (WHERE usable AND value_num IS NOT NULL) first_n,
   arg_max(value_str, (coalesce(rscore, -1), -ord)) FILTER (WHERE usable) best_s,
   arg_max(page_id, (coalesce(x, 0), -ord)) FILTER (WHERE usable) strongest_page,
   arg_max(coalesce(profile, '-'), (coalesce(x, 0), -ord)) FILTER (WHERE usable) strongest_profile,
@@ -110,7 +115,7 @@ SELECT run_id, kpi_id, scope, {half_even("median(x)", 4)} AS wmed FROM
  (SELECT run_id, kpi_id, scope, x FROM v_scoped, unnest(range(0, w)) WHERE mode = 'wmedian' AND x IS NOT NULL) GROUP BY ALL
 """)
 duck_view("v_pooled", """
-SELECT g.*, CASE WHEN mode = 'wmedian' THEN wmed ELSE plain_num END AS vnum,
+SELECT g.*, CASE mode WHEN 'wmedian' THEN wmed WHEN 'first' THEN first_n ELSE plain_num END AS vnum,
  CASE mode WHEN 'any' THEN any_true WHEN 'all' THEN all_true END AS vbool,
  CASE mode WHEN 'first' THEN first_s WHEN 'best' THEN best_s END AS vstr
 FROM v_groups g LEFT JOIN v_wmed USING (run_id, kpi_id, scope)
@@ -160,22 +165,24 @@ SELECT run_id, scope, bool_or(j) AS journey, bool_or(g) AS judged_run FROM (
 duck_view("v_kpi0", f"""
 SELECT a.*, c.journey, c.judged_run,
  CASE WHEN a.owner = 'DPR' AND a.assessed THEN {half_even("least(1.0, greatest(0.0, vnum))", 4)} END rvalue,
- CASE WHEN a.assessed AND a.owner <> 'DPR' THEN {half_even("least(100.0, greatest(0.0, ascore))", 2)} END norm0,
+ CASE WHEN a.assessed AND a.owner <> 'DPR' AND ascore IS NOT NULL THEN {half_even("least(100.0, greatest(0.0, ascore))", 2)} END norm0,
  a.assessed AND a.owner <> 'DPR' AND a.has_map AND a.mapped AND a.ascore IS NULL AS to_none,
  a.assessed AND a.owner <> 'DPR' AND (a.has_map OR a.has_points) AND a.ascore IS NULL AND NOT (a.has_map AND a.mapped) AS unscored,
- coalesce(max(CASE WHEN a.kpi_id = 'DPR.COUNTDOWN_RESET' AND a.assessed THEN vnum END) OVER (PARTITION BY a.run_id, a.scope), 0) AS sig
+ coalesce(g.sig, 0) AS sig
 FROM v_agg a JOIN v_ctx c USING (run_id, scope)
+LEFT JOIN (SELECT run_id, scope, kpi_id AS partner, vnum AS sig FROM v_agg WHERE owner = 'DPR' AND assessed) g
+  ON g.run_id = a.run_id AND g.scope = a.scope AND g.partner = a.credit
 """)
 duck_view("v_kpis", """
 SELECT run_id, scope, kpi_id, owner, weight, severity, kscope, judged, journey, judged_run,
  CASE WHEN owner = 'DPR' THEN rvalue WHEN assessed THEN vnum END AS value_num, CASE WHEN assessed THEN vbool END AS value_bool,
  CASE WHEN assessed THEN vstr END AS value_str,
  assessed AND NOT to_none AND NOT unscored AS ok,
- CASE WHEN NOT (assessed AND NOT to_none AND NOT unscored) THEN NULL WHEN credit = 'DPR.COUNTDOWN_RESET' AND sig >= 0.5 THEN 30.0 ELSE norm0 END AS normalized,
+ CASE WHEN NOT (assessed AND NOT to_none AND NOT unscored) THEN NULL WHEN credit IS NOT NULL AND sig >= 0.5 THEN 30.0 ELSE norm0 END AS normalized,
  CASE WHEN to_none THEN 'not_applicable' WHEN unscored THEN 'invalid_value'
-   WHEN credit = 'DPR.COUNTDOWN_RESET' AND sig >= 0.5 AND assessed AND norm0 IS NOT NULL THEN 'credit_withheld:DPR.COUNTDOWN_RESET' ELSE reason END AS reason,
+   WHEN credit IS NOT NULL AND sig >= 0.5 AND assessed AND norm0 IS NOT NULL THEN 'credit_withheld:' || credit ELSE reason END AS reason,
  CASE WHEN assessed AND NOT to_none AND NOT unscored THEN worst_profile END AS profile,
- n_rows, CASE WHEN kpi_id IN ('TRI.RETURNS_CLARITY','DPR.CONFIRMSHAMING') THEN 'judged' ELSE 'deterministic' END AS source,
+ n_rows, CASE WHEN judged THEN 'judged' ELSE 'deterministic' END AS source,
  strongest_page, strongest_profile
 FROM v_kpi0
 """)
@@ -243,9 +250,9 @@ def _(spark, d):
     return S.score_map(obs, CAT, out="score").select("run_id", "ord", "score", "mapped")
 
 
-@query("join_04_withhold", """SELECT run_id, scope, kpi_id, normalized, reason FROM v_kpi WHERE kpi_id = 'MPI.URGENCY_SIGNALS'""")
+@query("join_04_withhold", """SELECT run_id, scope, kpi_id, normalized, reason FROM v_kpi WHERE kpi_id IN ('MPI.URGENCY_SIGNALS', 'MPI.SCARCITY_SIGNALS')""")
 def _(spark, d):
-    return _kpis(spark, d).where("kpi_id = 'MPI.URGENCY_SIGNALS'").select("run_id", "scope", "kpi_id", "normalized", "reason")
+    return _kpis(spark, d).where("kpi_id in ('MPI.URGENCY_SIGNALS', 'MPI.SCARCITY_SIGNALS')").select("run_id", "scope", "kpi_id", "normalized", "reason")
 
 
 _MODES = {
