@@ -19,29 +19,36 @@ PAGE = ["run_id", "page_id"]
 def doc_bounds(net: DataFrame, main_frame: Column | None = None) -> DataFrame:
     """(run, page) -> start: index of the newest main-frame document request; commit: the first commit after it.
 
-    net: run_id, page_id, idx, method, request_id, loader_id, frame_id, type, redirect_status, ts.
+    The main frame is the given column or else the frame of the page's first document request, so a document inside
+    an iframe starts nothing. A page whose log has no commit takes the main frame's first new script context instead.
+
+    net: run_id, page_id, idx, method (request|response|data|finished|failed|commit|context), request_id, loader_id,
+    frame_id, type, redirect_status, ts.
     """
     is_start = ((F.col("method") == "request") & (F.col("type") == "Document") & F.col("redirect_status").isNull()
                 & (F.col("request_id") == F.col("loader_id")))
     if main_frame is not None:
         is_start = is_start & (F.col("frame_id") == main_frame)
-    starts = net.where(is_start).groupBy(*PAGE).agg(
-        F.max_by(F.struct("idx", "request_id", "loader_id", "frame_id", "ts"), "idx").alias("_s"))
+    frames = net.where(is_start).groupBy(*PAGE, "frame_id").agg(
+        F.max_by(F.struct("idx", "request_id", "loader_id", "frame_id", "ts"), "idx").alias("_s"), F.min("idx").alias("_first"))
+    starts = frames.groupBy(*PAGE).agg(F.min_by("_s", "_first").alias("_s"))
     starts = starts.select(*PAGE, F.col("_s.idx").alias("start"), F.col("_s.request_id").alias("doc_request"),
                            F.col("_s.loader_id").alias("doc_loader"), F.col("_s.frame_id").alias("doc_frame"),
                            F.col("_s.ts").alias("doc_ts"))
-    commits = (net.where(F.col("method") == "commit").select(*PAGE, "idx").join(starts, PAGE)
-               .where(F.col("idx") > F.col("start")).groupBy(*PAGE).agg(F.min("idx").alias("commit")))
+    commit, context = F.col("method") == "commit", (F.col("method") == "context") & (F.col("frame_id") == F.col("doc_frame"))
+    commits = (net.where(F.col("method").isin("commit", "context")).select(*PAGE, "idx", "method", "frame_id").join(starts, PAGE)
+               .where(F.col("idx") > F.col("start")).groupBy(*PAGE)
+               .agg(F.coalesce(F.min(F.when(commit, F.col("idx"))), F.min(F.when(context, F.col("idx")))).alias("commit")))
     return starts.join(commits, PAGE, "left")
 
 
-def document_events(net: DataFrame) -> DataFrame:
+def document_events(net: DataFrame, main_frame: Column | None = None) -> DataFrame:
     """Events of each page's newest document, without requests that belong to an earlier one.
 
     Stale: another document's request sent before the commit, the old main-frame loader's at any time, or one whose
     clock is older than the document request. A page without a document request keeps all its events.
     """
-    rows = net.join(doc_bounds(net), PAGE, "left")
+    rows = net.join(doc_bounds(net, main_frame), PAGE, "left")
     rows = rows.where(F.col("start").isNull() | (F.col("idx") >= F.col("start")))
     other = ((F.col("method") == "request") & ~F.col("request_id").eqNullSafe(F.col("doc_request"))
              & ~F.col("loader_id").eqNullSafe(F.col("doc_loader")))
@@ -91,27 +98,32 @@ def resource_type(initiator: Column, url: Column) -> Column:
     return F.coalesce(by_init, by_ext, F.lit("Other"))
 
 
-def network_summary(reqs: DataFrame, documents: DataFrame, domains: int = 20) -> DataFrame:
+def network_summary(reqs: DataFrame, documents: DataFrame, domains: int | None = 20) -> DataFrame:
     """Per page: requests, bytes in all and by asset kind, third parties, errors, failures, mixed content.
 
     Two levels: (page, domain, type) first, so a page with very many requests combines before it meets in one row.
-    documents: run_id, page_id, document_url.
+    documents: run_id, page_id, document_url. A page that is not in documents keeps its counts; it has no third parties
+    and no mixed content. domains: how many third-party domains are listed, None for all.
     """
     r = reqs.withColumn("domain", U.registrable_domain(U.host(F.col("url"))))
-    r = r.join(documents, PAGE)
-    https = F.startswith("document_url", F.lit("https:"))
+    r = r.join(documents, PAGE, "left")
+    https = F.coalesce(F.startswith("document_url", F.lit("https:")), F.lit(False))
     error = (F.coalesce("status", F.lit(0)) >= 400) & ~F.col("browser_probe")
     mixed = https & (F.startswith("url", F.lit("http:")) | F.coalesce(F.col("mixed").isin("blockable", "optionally-blockable"), F.lit(False)))
     level1 = r.groupBy(*PAGE, "document_url", "domain", "type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.count_if(error).alias("e"), F.count_if("failed").alias("f"),
         F.count_if(mixed).alias("m"))
-    own = U.registrable_domain(U.host(F.col("document_url")))
-    third = (F.col("domain") != "") & (own != "") & (F.col("domain") != own)
+    own = F.coalesce(U.registrable_domain(U.host(F.col("document_url"))), F.lit(""))
+    third = F.coalesce((F.col("domain") != "") & (own != "") & (F.col("domain") != own), F.lit(False))
+    # ranked before they are collected, so that a page's list never holds more than is shown
+    foreign = F.when(third, F.col("domain"))
+    level1 = level1.withColumn("_d", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy(foreign.asc_nulls_last())))
+    listed = foreign if domains is None else F.when(F.col("_d") <= domains, foreign)
     g = level1.groupBy(*PAGE).agg(
         F.sum("n").alias("requests"), F.sum("b").alias("bytes_transfer"),
         *[F.sum(F.when(F.col("type") == t, F.col("b")).otherwise(0)).alias(c) for t, c in K.ASSET_BYTES.items()],
         F.sum(F.when(third, F.col("b")).otherwise(0)).alias("bytes_third_party"),
-        F.slice(F.array_sort(F.collect_set(F.when(third, F.col("domain")))), 1, domains).alias("third_party_domains"),
+        F.array_sort(F.collect_set(listed)).alias("third_party_domains"),
         F.sum("e").alias("http_errors"), F.sum("f").alias("failed"), F.sum("m").alias("mixed_content"))
     share = F.when(F.col("bytes_transfer") > 0, round_half_even(F.col("bytes_third_party") / F.col("bytes_transfer"), 4)).otherwise(0.0)
     return g.withColumn("third_party_share", share)
@@ -148,12 +160,14 @@ def blocking_time(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     """Per page: blocking time of long tasks between first paint and load + 3 s, total long-task time, long frames.
 
     tasks: run_id, page_id, start_ms, duration_ms, kind (long_task|long_frame). pages: run_id, page_id, fcp_ms, load_ms.
+    A page whose load time is not known has no blocking time, but keeps its other sums.
     """
-    t = tasks.join(pages, PAGE)
+    t = tasks.join(pages, PAGE, "left")
     long = F.col("kind") == "long_task"
     inside = long & (F.col("start_ms") >= F.coalesce("fcp_ms", F.lit(0.0))) & (F.col("start_ms") <= F.col("load_ms") + 3000)
     return t.groupBy(*PAGE).agg(
-        round_half_even(F.sum(F.when(inside, F.greatest(F.col("duration_ms") - 50, F.lit(0.0))).otherwise(0.0)), 1).alias("tbt_approx"),
+        round_half_even(F.sum(F.when(F.col("load_ms").isNull(), None).when(inside, F.greatest(F.col("duration_ms") - 50, F.lit(0.0)))
+                              .otherwise(0.0)), 1).alias("tbt_approx"),
         round_half_even(F.sum(F.when(long, F.col("duration_ms")).otherwise(0.0)), 1).alias("long_tasks_ms"),
         F.count_if(F.col("kind") == "long_frame").alias("loaf_count"))
 

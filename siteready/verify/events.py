@@ -9,7 +9,7 @@ from siteready.verify.base import duck_view, half_even, query, spark_view, view
 from siteready.verify.scoring import CAT  # noqa: F401  (loads the shared views)
 
 view("v_net", """SELECT run_id, CAST(k % 3 AS BIGINT) AS page_id, ord AS idx, t_us / 1000.0 AS ts, k,
- CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'response' WHEN 'purchase' THEN 'finished' WHEN 'signup' THEN CASE WHEN k % 4 = 0 THEN 'commit' ELSE 'data' END ELSE 'failed' END AS method,
+ CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'response' WHEN 'purchase' THEN 'finished' WHEN 'signup' THEN CASE WHEN k % 4 = 0 THEN CASE WHEN run_id % 3 = 0 THEN 'data' ELSE 'commit' END WHEN k % 4 = 2 THEN 'context' ELSE 'data' END ELSE 'failed' END AS method,
  CASE WHEN k % 20 = 0 THEN concat('d', CAST(k % 40 AS VARCHAR(3))) ELSE concat('r', CAST(k % 12 AS VARCHAR(3))) END AS request_id,
  CASE WHEN k % 20 = 0 THEN concat('d', CAST(k % 40 AS VARCHAR(3))) ELSE concat('d', CAST(k % 5 * 20 AS VARCHAR(3))) END AS loader_id,
  CASE WHEN k % 6 < 4 THEN 'main' ELSE 'sub' END AS frame_id,
@@ -18,9 +18,10 @@ view("v_net", """SELECT run_id, CAST(k % 3 AS BIGINT) AS page_id, ord AS idx, t_
  CASE WHEN k % 7 = 0 THEN 404 ELSE 200 END AS status, CAST(floor(value * 1000) AS BIGINT) AS encoded_bytes, k % 3 = 0 AS canceled,
  CASE WHEN k % 10 = 5 THEN 302 END AS redirect_status, CAST(k AS BIGINT) AS redirect_bytes,
  CASE WHEN k % 50 = 1 THEN 'blockable' END AS mixed_content, 'script' AS initiator FROM v_ev""")
-duck_view("v_bounds", """SELECT s.*, (SELECT min(idx) FROM v_net c WHERE c.method = 'commit' AND c.run_id = s.run_id AND c.page_id = s.page_id AND c.idx > s.start) AS commit FROM (
- SELECT run_id, page_id, max(idx) AS start, arg_max(request_id, idx) dr, arg_max(loader_id, idx) dl, arg_max(frame_id, idx) df, arg_max(ts, idx) dts FROM v_net
- WHERE method = 'request' AND type = 'Document' AND redirect_status IS NULL AND request_id = loader_id GROUP BY ALL) s""")
+duck_view("v_bounds", """SELECT s.*, coalesce((SELECT min(idx) FROM v_net c WHERE c.method = 'commit' AND c.run_id = s.run_id AND c.page_id = s.page_id AND c.idx > s.start),
+  (SELECT min(idx) FROM v_net c WHERE c.method = 'context' AND c.frame_id = s.df AND c.run_id = s.run_id AND c.page_id = s.page_id AND c.idx > s.start)) AS commit FROM (
+ SELECT run_id, page_id, max(idx) AS start, arg_max(request_id, idx) dr, arg_max(loader_id, idx) dl, arg_max(frame_id, idx) df, arg_max(ts, idx) dts FROM (SELECT * FROM v_net
+  WHERE method = 'request' AND type = 'Document' AND redirect_status IS NULL AND request_id = loader_id QUALIFY frame_id = first_value(frame_id) OVER (PARTITION BY run_id, page_id ORDER BY idx)) GROUP BY ALL) s""")
 duck_view("v_tail", "SELECT n.*, b.start, b.commit, b.dr, b.dl, b.df, b.dts FROM v_net n LEFT JOIN v_bounds b USING (run_id, page_id) WHERE b.start IS NULL OR n.idx >= b.start")
 duck_view("v_stale", """SELECT DISTINCT run_id, page_id, request_id FROM v_tail WHERE start IS NOT NULL AND method = 'request' AND request_id <> dr AND loader_id <> dl
  AND (coalesce(idx < commit, false) OR frame_id = df OR ts < dts)""")
@@ -28,7 +29,7 @@ duck_view("v_reqs", """SELECT run_id, page_id, url, type, status, bytes, failed,
  SELECT run_id, page_id, request_id, bool_or(method = 'request') known, coalesce(arg_max(url, idx) FILTER (WHERE method = 'response'), arg_max(url, idx) FILTER (WHERE method = 'request')) url,
   coalesce(arg_max(type, idx) FILTER (WHERE method = 'response'), arg_min(type, idx) FILTER (WHERE method = 'request')) type, arg_max(status, idx) FILTER (WHERE method = 'response') status,
   coalesce(arg_max(encoded_bytes, idx) FILTER (WHERE method = 'finished'), coalesce(sum(encoded_bytes) FILTER (WHERE method = 'data'), 0)) bytes,
-  bool_or(method = 'failed' AND NOT canceled) failed, max(mixed_content) mixed FROM v_net WHERE method <> 'commit' GROUP BY ALL) WHERE known
+  bool_or(method = 'failed' AND NOT canceled) failed, max(mixed_content) mixed FROM v_net WHERE method NOT IN ('commit', 'context') GROUP BY ALL) WHERE known
  UNION ALL SELECT run_id, page_id, url, type, redirect_status, redirect_bytes, false, mixed_content FROM v_net WHERE method = 'request' AND redirect_status IS NOT NULL""")
 _DOMAIN = "regexp_extract(url, 'a\\.(site[0-9])', 1) || '.example'"
 
@@ -101,11 +102,11 @@ def _(spark, d):
 view("v_long", """SELECT run_id, CAST(k % 3 AS BIGINT) AS page_id, k * 100.0 AS start_ms, value AS duration_ms, CASE WHEN event_type = 'view' THEN 'long_frame' ELSE 'long_task' END AS kind FROM v_ev""")
 
 
-@query("agg_27_blocking_time", f"""SELECT run_id, page_id, {half_even("sum(CASE WHEN kind = 'long_task' AND start_ms >= 500*page_id AND start_ms <= 6000 THEN greatest(duration_ms-50,0) ELSE 0 END)", 1)} AS tbt_approx,
+@query("agg_27_blocking_time", f"""SELECT run_id, page_id, {half_even("sum(CASE WHEN page_id = 2 THEN NULL WHEN kind = 'long_task' AND start_ms >= 500*page_id AND start_ms <= 6000 THEN greatest(duration_ms-50,0) ELSE 0 END)", 1)} AS tbt_approx,
  {half_even("coalesce(sum(duration_ms) FILTER (WHERE kind='long_task'),0)", 1)} AS long_tasks_ms, count(*) FILTER (WHERE kind='long_frame') AS loaf_count FROM v_long GROUP BY run_id, page_id""")
 def _(spark, d):
     t = spark_view(spark, d, "v_long")
-    p = t.select("run_id", "page_id").distinct().withColumn("fcp_ms", F.col("page_id") * 500.0).withColumn("load_ms", F.lit(3000.0))
+    p = t.select("run_id", "page_id").distinct().withColumn("fcp_ms", F.col("page_id") * 500.0).withColumn("load_ms", F.lit(3000.0)).where("page_id <> 2")
     return E.blocking_time(t, p)
 
 
