@@ -504,6 +504,48 @@ def risk_signals(scores: DataFrame, top: int | None = None) -> DataFrame:
     return fired if top is None else fired.where(F.col("rank") <= top)
 
 
+def check_links(links: DataFrame, runs: DataFrame) -> DataFrame:
+    """Links with the journey's profile, an error when it cannot be merged, and a warning when its host is another.
+
+    links: run_id, journey_run_id, pos (from 1, the given order). runs: run_id, kind (audit|journey), host, profile.
+    Errors: not_a_journey (also for a run that is unknown), scored_run_itself. A journey that is listed twice counts at
+    its first place.
+    """
+    links = links.groupBy("run_id", "journey_run_id").agg(F.min("pos").alias("pos"))
+    journeys = runs.select(F.col("run_id").alias("journey_run_id"), F.col("kind").alias("_kind"), F.col("host").alias("_host"), "profile")
+    own = runs.select("run_id", F.col("host").alias("_own"))
+    joined = links.join(journeys, "journey_run_id", "left").join(own, "run_id", "left")
+    error = (F.when(F.col("run_id") == F.col("journey_run_id"), F.lit("scored_run_itself"))
+             .when(~F.col("_kind").eqNullSafe(F.lit("journey")), F.lit("not_a_journey")))
+    return joined.withColumn("error", error).select(
+        "run_id", "journey_run_id", "pos", "profile", "error",
+        F.when(F.col("error").isNull() & ~F.col("_host").eqNullSafe(F.col("_own")), F.lit("another_host")).alias("warning"))
+
+
+def link_journeys(obs: DataFrame, checked: DataFrame, catalog: Catalog | None = None, stride: int = 10**12) -> DataFrame:
+    """Observations of every run, followed by the journey-scope rows of the journeys linked to it without an error.
+
+    A linked row takes the journey's profile where it has none of its own. Rows keep their order within a run and come
+    after the run's own rows in link order: stride must exceed every ord. checked comes from ``check_links``.
+    """
+    catalog = catalog or default_catalog()
+    ids = [k.id for k in catalog.kpis.values() if k.scope == "journey"]
+    links = checked.where("error is null").select(
+        F.col("run_id").alias("_to"), F.col("journey_run_id").alias("run_id"), "pos", F.col("profile").alias("_profile"))
+    linked = obs.where(F.col("kpi_id").isin(*ids)).join(links, "run_id")
+    linked = linked.withColumns({"run_id": F.col("_to"), "profile": F.coalesce("profile", "_profile"),
+                                 "ord": F.col("ord") + F.col("pos") * F.lit(stride)})
+    return obs.unionByName(linked.select(*obs.columns))
+
+
+def journey_context(checked: DataFrame) -> DataFrame:
+    """What linked journeys say about a run even without rows: the ``extra`` of ``score_runs``."""
+    none = F.array().cast("array<string>")
+    return checked.where("error is null").groupBy("run_id").agg(
+        F.collect_set(F.coalesce("profile", F.lit(""))).alias("journey_profiles")).select(
+        "run_id", none.alias("profiles"), "journey_profiles", F.lit(False).alias("judged"))
+
+
 def score_runs(obs: DataFrame, catalog: Catalog | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Observations to headline in one lineage: the KPI rows are aggregated once for indices and risk together."""
     catalog = catalog or default_catalog()

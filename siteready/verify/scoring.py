@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from siteready.dims.catalog import default_catalog
 from siteready.functions import numbers as N
 from siteready.operators import scoring as S
 from siteready.operators.quantiles import weighted_median
-from siteready.verify.base import duck_view, half_even, query, spark_view, table, view
+from siteready.verify.base import DUCK_VIEWS, duck_view, half_even, query, spark_view, table, view
 
 CAT = default_catalog()
 
@@ -381,6 +383,66 @@ def _(spark, d):
     return S.score_runs(_obs(spark, d), CAT)
 
 
+# odd suppliers are audits, even ones journeys; some links name an audit, the run itself, or a journey twice
+view("v_jruns", """SELECT s_suppkey AS run_id, CASE WHEN s_suppkey % 2 = 0 THEN 'journey' ELSE 'audit' END AS kind, concat('h', CAST(s_suppkey % 3 AS VARCHAR(2))) AS host,
+ CASE s_suppkey % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' END AS profile FROM supplier""")
+view("v_jlinks", """SELECT s_suppkey AS run_id, s_suppkey + 1 AS journey_run_id, 2 AS pos FROM supplier WHERE s_suppkey % 2 = 1
+ UNION ALL SELECT s_suppkey, s_suppkey + 3, 1 FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, s_suppkey + 3, 4 FROM supplier WHERE s_suppkey % 2 = 1
+ UNION ALL SELECT s_suppkey, s_suppkey + 2, 3 FROM supplier WHERE s_suppkey % 4 = 1 UNION ALL SELECT s_suppkey, s_suppkey, 5 FROM supplier WHERE s_suppkey % 8 = 2""")
+duck_view("v_jchecked", """SELECT l.run_id, l.journey_run_id, l.pos, j.profile, CASE WHEN l.run_id = l.journey_run_id THEN 'scored_run_itself' WHEN j.kind IS DISTINCT FROM 'journey' THEN 'not_a_journey' END AS error,
+ CASE WHEN l.run_id <> l.journey_run_id AND j.kind = 'journey' AND j.host <> r.host THEN 'another_host' END AS warning
+ FROM (SELECT run_id, journey_run_id, min(pos) AS pos FROM v_jlinks GROUP BY ALL) l LEFT JOIN v_jruns j ON j.run_id = l.journey_run_id LEFT JOIN v_jruns r ON r.run_id = l.run_id""")
+
+
+def _checked(spark, d):
+    return S.check_links(spark_view(spark, d, "v_jlinks"), spark_view(spark, d, "v_jruns"))
+
+
+@query("join_08_checked_links", "SELECT * FROM v_jchecked")
+def _(spark, d):
+    return _checked(spark, d)
+
+
+@query("join_08_link_journeys", """SELECT run_id, ord, kpi_id, profile, assessed, value_num, value_bool, value_str FROM v_obs UNION ALL
+ SELECT c.run_id, o.ord + c.pos * 1000000000000, o.kpi_id, coalesce(o.profile, c.profile), o.assessed, o.value_num, o.value_bool, o.value_str
+ FROM v_obs o JOIN d_reg r USING (kpi_id) JOIN v_jchecked c ON c.journey_run_id = o.run_id WHERE r.kscope = 'journey' AND c.error IS NULL""")
+def _(spark, d):
+    return S.link_journeys(_obs(spark, d), _checked(spark, d), CAT).select("run_id", "ord", "kpi_id", "profile", "assessed", "value_num", "value_bool", "value_str")
+
+
+@query("join_08_journey_context", """SELECT run_id, array_to_string(list_sort(list(DISTINCT coalesce(profile, ''))), ',') AS profiles FROM v_jchecked WHERE error IS NULL GROUP BY run_id""")
+def _(spark, d):
+    return S.journey_context(_checked(spark, d)).select("run_id", F.array_join(F.array_sort("journey_profiles"), ",").alias("profiles"))
+
+
+# A score over linked runs: the whole chain again, with the linked rows as its observations.
+_LINKED_OBS = """(SELECT * FROM v_obs UNION ALL SELECT c.run_id, o.ord + c.pos * 1000000000000 AS ord, o.kpi_id, o.page_id, coalesce(o.profile, c.profile) AS profile, o.stage,
+ o.assessed, o.source, o.reason, o.value_type, o.value_num, o.value_bool, o.value_str FROM v_obs o JOIN d_reg r USING (kpi_id) JOIN v_jchecked c ON c.journey_run_id = o.run_id
+ WHERE r.kscope = 'journey' AND c.error IS NULL)"""
+_CHAIN = "rows prof scoped groups wmed pooled scored worst second agg ctx kpi0 kpis kpi full sub risk".split()
+
+
+def _linked(sql: str) -> str:
+    """The same SQL over linked observations: every view of the chain under a name of its own."""
+    sql = re.sub(rf"\bv_({'|'.join(_CHAIN)})\b", r"v_l\1", sql)
+    return re.sub(r"\bv_obs\b", "v_lobs", sql)
+
+
+duck_view("v_lobs", _LINKED_OBS[1:-1])
+for _name in _CHAIN:
+    duck_view(f"v_l{_name}", _linked(DUCK_VIEWS[f"v_{_name}"]))
+duck_view("v_lprof", "SELECT DISTINCT run_id, profile FROM v_lobs WHERE profile IS NOT NULL UNION SELECT run_id, profile FROM v_jchecked WHERE error IS NULL AND profile IS NOT NULL")
+duck_view("v_lctx", """SELECT c.run_id, c.scope, c.journey OR j.run_id IS NOT NULL AS journey, c.judged_run FROM (""" + _linked(DUCK_VIEWS["v_ctx"]) + """) c
+ LEFT JOIN (SELECT DISTINCT k.run_id, s.scope FROM v_jchecked k JOIN (SELECT DISTINCT run_id, scope FROM v_lscoped) s USING (run_id)
+  WHERE k.error IS NULL AND (s.scope = 'overall' OR k.profile IS NULL OR k.profile = s.scope)) j ON j.run_id = c.run_id AND j.scope = c.scope""")
+
+
+@query("score_linked_headline", _linked(_HEAD.replace("HSRC", _HSRC.replace("SUBSRC", "v_sub").replace("KEYSRC", "v_kpi")).replace("RSRC", "v_risk")))
+def _(spark, d):
+    checked = _checked(spark, d)
+    return S.score_runs(S.link_journeys(_obs(spark, d), checked, CAT), CAT, S.journey_context(checked))
+
+
 # sub-indices straight from lineitem, wide enough to be published
 view("v_subs", """SELECT l_orderkey % 5000 AS run_id, 'overall' AS scope,
  CASE l_linenumber % 6 WHEN 0 THEN 'PERF' WHEN 1 THEN 'FAI' WHEN 2 THEN 'TRI' WHEN 3 THEN 'PTI' WHEN 4 THEN 'CCL' ELSE 'MPI' END AS owner,
