@@ -7,7 +7,10 @@ check, account numbers their check digits, addresses of one domain share a new d
 the same gender and script. The new value is laid over each mention's own spelling.
 
 Collisions are checked over the whole corpus: a surrogate must not equal an entity that occurs, nor another entity's
-surrogate; of those that clash the least entity keeps it and the others draw again, until none clash. Distinct entities
+surrogate; of those that clash the least entity keeps it and the others draw again, until none clash. The first draws
+keep the exact form; from attempt WIDE on, characters without a class of their own (masks, other scripts) and the
+lengths of address octets are drawn too, and from attempt LONGER on each attempt is one character longer than the one
+before, so that no form can run out. Distinct entities
 so stay distinct, and one entity has one surrogate everywhere. All of it is joins on entities and on surrogates; no
 list of entities is broadcast or collected.
 
@@ -22,6 +25,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator, Sequence
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -62,6 +66,9 @@ _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
 #: A text without any of these holds no entity; a quick look before the search.
 _HINT = re.compile(rf"[@\d]|(?i:passw|pwd|secret|token|key)|(?:{_GIVEN_PATTERN}) ")
 _CASELESS = ("email", "person")
+#: Attempts from which a surrogate may leave the exact form, and from which it grows.
+WIDE, LONGER = 2, 6
+_ALNUM = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -94,9 +101,14 @@ class _Draws:
         value, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
         return value % n
 
-    def like(self, text: str) -> str:
-        """Each ASCII letter and digit by another of its class; the rest stays. Words of other scripts lose no letter class."""
-        return "".join(self._one(c) for c in text)
+    def like(self, text: str, wide: bool = False) -> str:
+        """Each ASCII letter and digit by another of its class; the rest stays, or if wide becomes a letter or digit.
+        Words of other scripts lose no letter class."""
+        drawn = (self._one(c) for c in text)
+        return "".join(self.some(1) if wide and n == c and not (c.isascii() and c.isalnum()) else n for n, c in zip(drawn, text))
+
+    def some(self, n: int, alphabet: str = _ALNUM) -> str:
+        return "".join(alphabet[self.below(len(alphabet))] for _ in range(n))
 
     def _one(self, c: str) -> str:
         for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"):
@@ -111,49 +123,58 @@ def _luhn(digits: str) -> int:
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The canonical replacement of a canonical value."""
-    draws = _Draws(key, kind, value, str(attempt))
+    draws, more = _Draws(key, kind, value, str(attempt)), max(0, attempt - LONGER + 1)
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         name, _, top = domain.rpartition(".")
-        # Drawn from the domain alone, so that all its addresses keep one domain.
-        return f"{draws.like(local)}@{_Draws(key, 'domain', domain).like(name)}.{top}"
+        # Drawn from the domain alone, so that all its addresses keep one domain; fresh room is in the local part.
+        return f"{draws.like(local)}{draws.some(more)}@{_Draws(key, 'domain', domain).like(name)}.{top}"
     if kind == "ip":
+        if attempt >= WIDE:
+            return ".".join(str(draws.below(256)) for _ in range(4 + more))
         return ".".join(str(draws.below(9) + 1 if len(o) == 1 else draws.below(90) + 10 if len(o) == 2 else draws.below(155) + 100) for o in value.split("."))
     if kind == "phone":
         # The first digit is the country's or the area's and stays.
-        return value[0] + "".join(str(draws.below(9) + 1 if i == 0 else draws.below(10)) for i in range(len(value) - 1))
+        return value[0] + "".join(str(draws.below(9) + 1 if i == 0 else draws.below(10)) for i in range(len(value) - 1 + more))
     if kind == "card":
-        body = value[0] + draws.like(value[1:-1])
+        body = value[0] + draws.like(value[1:-1]) + draws.some(more, "0123456789")
         check = -_luhn(body + "0") % 10
         return body + str(check if _luhn(value) == 0 else (check + 1 + draws.below(9)) % 10)
     if kind == "account":
-        body = draws.like(value[4:])
+        body = draws.like(value[4:]) + draws.some(more, "0123456789")
         number = int("".join(str(int(c, 36)) for c in body + value[:2])) * 100
         return f"{value[:2]}{98 - number % 97:02d}{body}"
     if kind == "access_key":
-        return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draws.below(32)] for _ in value[4:])
+        return value[:4] + draws.some(len(value) - 4 + more, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
     if kind == "token":
-        return "".join("0123456789abcdef"[draws.below(16)] for _ in value)
+        return draws.some(len(value) + more, "0123456789abcdef")
     if kind == "person":
         script, gender = _GIVEN[value.split(" ")[0]]
         lists = NAMES[script]
         family = lists[2][draws.below(len(lists[2]))].lower()
         # The lists are short; later attempts build a family name.
-        return f"{lists[gender][draws.below(len(lists[gender]))].lower()} {family if attempt < 4 else draws.like(family)}"
-    return draws.like(value)
+        return f"{lists[gender][draws.below(len(lists[gender]))].lower()} {family if attempt < 4 else draws.like(family + family[:1] * more)}"
+    if kind == "national_id":
+        return draws.like(value) + draws.some(more, "0123456789")
+    return draws.like(value, attempt >= WIDE) + draws.some(more)
+
+
+def _capitals(new: str, said: str) -> str:
+    """new with the capitals of an address: part by part, as the local part may have grown."""
+    return "@".join("".join(n.upper() if s.isupper() else n for n, s in zip_longest(a, b[:len(a)], fillvalue="a")) for a, b in zip(new.split("@"), said.split("@")))
 
 
 def lay_over(kind: str, new: str, said: str) -> str:
     """The canonical replacement in the spelling of a mention: its separators and its capitals."""
     if kind in ("phone", "card", "national_id"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in said)
+        return "".join(next(digits) if c.isdigit() else c for c in said) + "".join(digits)
     if kind == "account" and " " in said:
         return " ".join(new[i:i + 4] for i in range(0, len(new), 4))
     if kind == "person":
         return new.upper() if said.isupper() else " ".join(w[:1].upper() + w[1:] for w in new.split(" "))
     if kind == "email" and said != said.lower():
-        return "".join(n.upper() if s.isupper() else n for n, s in zip(new, said))
+        return _capitals(new, said)
     return new
 
 

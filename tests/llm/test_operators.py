@@ -189,6 +189,23 @@ def test_surrogates_keep_form_and_distinctness(spark, docs):
     assert surrogates.replace_entities(docs, b"k", ("lang", "kind")).count() == docs.count()
 
 
+def test_surrogates_of_masked_secrets_and_exhausted_forms(spark):
+    # Each form has room at every attempt, so that the draws end.
+    for kind, value in [("secret", "********"), ("secret", "密码密码密码"), ("ip", "1.2.3.4"), ("email", "_@x.example.com"), ("phone", "12345")]:
+        drawn = {surrogates.surrogate(kind, value, b"k", a) for a in range(20)}
+        assert len(drawn - {value}) > 10 and max(map(len, drawn)) > len(value)
+    addresses = [f"{n // 1000}.{n // 100 % 10}.{n // 10 % 10}.{n % 10}" for n in range(10000)]
+    rows = [(1, "password=******** and pwd=------"), (2, "token=密码密码密码 PASSWORD=********"), (3, " ".join(addresses))]
+    rows += [(10 + i, f"secret=*****{i} _@x{i}.example.com X_@Mail.example.com") for i in range(10)]
+    out = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    new = out[3].split(" ")
+    assert len(set(new)) == 10000 and not set(new) & set(addresses)
+    secrets = [re.findall(r"(?i)(?:password|pwd|token|secret)=(\S+)", out[i]) for i in (1, 2, *range(10, 20))]
+    before = [re.findall(r"(?i)(?:password|pwd|token|secret)=(\S+)", t) for i, t in rows if i != 3]
+    assert secrets[0][0] == secrets[1][1] and not {x for r in secrets for x in r} & {x for r in before for x in r}
+    assert len({x for r in secrets for x in r}) == 13
+
+
 def brute_lines(rows, size=25):
     """Deleted lines of (doc, text) by the same definition, with loops."""
     h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
