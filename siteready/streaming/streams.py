@@ -1,6 +1,6 @@
 """Structured Streaming forms of the step, event, verdict and score operators.
 
-Built-in state wherever it expresses the rule (aggregations, session windows, interval joins). The four rules that
+Built-in state wherever it expresses the rule (aggregations, session windows, interval joins). The five rules that
 need their own state keep a few values per key and fold a micro-batch's rows in order; bound a micro-batch with
 maxFilesPerTrigger or maxBytesPerTrigger. Sinks write one folder per batch id, so a replayed batch replaces itself.
 """
@@ -71,15 +71,42 @@ def stream_dead_clicks(clicks: DataFrame, responses: DataFrame, key: str, within
     return c.join(r, on, "left_outer").select(F.col(f"c.{key}").alias(key), "click_id", "resp_id")
 
 
-def stream_steps_upsert(raw: DataFrame, delay: str) -> DataFrame:
+def stream_steps_upsert(raw: DataFrame, delay: str, idle_ms: int = 86_400_000) -> DataFrame:
     """Last-write-wins steps as an update stream: the execution line shows at once, the measurement line replaces it.
 
-    State is dropped a day window after the watermark. raw: run_id, step, line_no, t_wall and content columns.
+    A step's state is dropped when the watermark is ``idle_ms`` past its newest line, whatever days its lines fall on.
+    Rows without a step are no update of another and rows without a time have no watermark: both pass through as they
+    are, as their own first and last line. raw: run_id, step, line_no, t_wall and content columns.
     """
-    content = [c for c in raw.columns if c not in ("run_id", "step", "line_no", "t_wall")]
-    g = raw.where("step is not null").withWatermark("t_wall", delay).groupBy(F.window("t_wall", "1 day").alias("w"), "run_id", "step").agg(
-        F.max_by(F.struct(*content), "line_no").alias("_last"), F.max("line_no").alias("last_line"), F.min("line_no").alias("line_no"))
-    return g.select("run_id", "step", "line_no", "last_line", *[F.col("_last")[c].alias(c) for c in content])
+    content = [f for f in raw.schema if f.name not in ("run_id", "step", "line_no", "t_wall")]
+    kind = {f.name: f.dataType.simpleString() for f in raw.schema}
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    packed = F.to_json(F.struct(*[F.col(f.name) for f in content]), exact)
+
+    def fold(key, chunks, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last, newest, row = state.get if state.exists else (None, None, None, None)
+        for rows in chunks:
+            top = rows.loc[rows["line_no"].idxmax()]
+            first = int(rows["line_no"].min()) if first is None else min(first, int(rows["line_no"].min()))
+            newest = int(rows["ms"].max()) if newest is None else max(newest, int(rows["ms"].max()))
+            if last is None or top["line_no"] >= last:
+                last, row = int(top["line_no"]), top["row"]
+        state.update((first, last, newest, row))
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"run_id": [key[0]], "step": [key[1]], "line_no": [first], "last_line": [last], "row": [row]})
+
+    whole = "step is not null and t_wall is not null and line_no is not null"
+    timed = raw.where(whole).withWatermark("t_wall", delay).select("run_id", "step", "line_no", "t_wall", F.unix_millis("t_wall").alias("ms"), packed.alias("row"))
+    folded = timed.groupBy("run_id", "step").applyInPandasWithState(
+        fold, f"run_id {kind['run_id']}, step {kind['step']}, line_no {kind['line_no']}, last_line {kind['line_no']}, row string",
+        "first long, last long, newest long, row string", "update", GroupStateTimeout.EventTimeTimeout)
+    back = F.from_json("row", Ty.StructType(content), exact)
+    steps = folded.withColumn("row", back).select("run_id", "step", "line_no", "last_line", *[F.col("row")[f.name].alias(f.name) for f in content])
+    rest = raw.where(f"not ({whole})").select("run_id", "step", "line_no", F.col("line_no").alias("last_line"), *[f.name for f in content])
+    return steps.unionByName(rest)
 
 
 def latest(updates: DataFrame, keys: list[str], version: str) -> DataFrame:

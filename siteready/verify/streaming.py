@@ -67,11 +67,21 @@ def _(spark, d):
 @query("str_01_step_upsert", "SELECT run_id, step, arg_max(operation, line_no) AS operation, arg_max(url, line_no) AS url, min(line_no) AS line_no FROM v_steps_raw WHERE step IS NOT NULL GROUP BY run_id, step")
 def _(spark, d):
     raw = spark_view(spark, d, "v_steps_raw").withColumn("t_wall", F.timestamp_seconds(F.lit(1704067200) + F.col("line_no")))
-    up = St.drain(St.stream_steps_upsert(_replay(spark, raw), "1 hour"), "upsert", "update")
+    up = St.drain(St.stream_steps_upsert(_replay(spark, raw), "1 hour"), "upsert", "update").where("step is not null")
     lines = up.groupBy("run_id", "step").agg(F.min("line_no").alias("line_no"))
     return St.latest(up.drop("line_no"), ["run_id", "step"], "last_line").join(lines, ["run_id", "step"]).select("run_id", "step", "operation", "url", "line_no")
 
 
+@query("str_01_step_upsert_midnight", """WITH r AS (SELECT run_id, CASE WHEN line_no % 5 <> 0 THEN step END AS step, line_no, operation, url FROM v_steps_raw),
+ g AS (SELECT run_id, step, arg_max({'o': operation, 'u': url}, line_no) AS l, min(line_no) AS line_no FROM r WHERE step IS NOT NULL AND line_no % 7 <> 0 GROUP BY run_id, step)
+ SELECT run_id, step, l.o AS operation, l.u AS url, line_no FROM g UNION ALL SELECT run_id, step, operation, url, line_no FROM r WHERE step IS NULL OR line_no % 7 = 0""")
+def _(spark, d):
+    """Lines half a day apart, some without a step and some without a time; one update for each step, all other rows kept."""
+    at = F.when(F.col("line_no") % 7 != 0, F.timestamp_seconds(F.lit(1704067200) + 43200 * F.col("line_no")))
+    raw = spark_view(spark, d, "v_steps_raw").withColumn("step", F.when(F.col("line_no") % 5 != 0, F.col("step"))).withColumn("t_wall", at)
+    return St.drain(St.stream_steps_upsert(_replay(spark, raw), "1 hour"), "upsert", "update").select("run_id", "step", "operation", "url", "line_no")
+
+
 @query("str_03_rage", "SELECT run_id, ord, rage, rage_start FROM v_rage")
 def _(spark, d):
     s = spark_view(spark, d, "v_steps").where(P.executed() & (F.col("operation") != "WAIT")).select("run_id", "ord", F.when(P.interaction() & P.no_effect(), F.col("node")).cast("long").alias("dead_node"))
