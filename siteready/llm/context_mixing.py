@@ -11,9 +11,13 @@ before it, the probabilities of all texts sum to one.
 What a word costs follows from its bytes, so everything is learned from and computed for the table of distinct words
 with their counts: corpus work is one count of words, and it grows with the corpus. Counters are summed over all tasks
 of that table; weights are learned online by each task over its share, from counters without the occurrence being
-predicted, and averaged; the map's counts are summed. The model (``SLOTS`` pairs of counters and a few hundred weights,
-52 MB whatever the corpus) is broadcast. Words seen once leave no trace in the counters of whole words so far, which
-could only repeat them and would crowd out those that recur.
+predicted, and averaged; the map's counts are summed. The counters of the whole word so far are exact and in no table:
+words are shuffled by their first ``HEAD_BYTES`` bytes, and a task counts its words' common beginnings bit by bit, so
+they grow with the corpus and nothing collides. What the first bytes count is summed by groups and broadcast, one row
+for each distinct beginning. The shorter contexts (``SLOTS`` pairs of counters, 19 MB whatever the corpus; contexts
+that collide share one) and some hundred weights are broadcast. A task holds the words of one beginning at a time.
+
+No context reaches before its word: a text and the same words in another order score alike.
 
 Scoring looks up the ``HEAD`` most frequent words in a broadcast table of that many rows; all other words of a document
 are joined with the table of words, where none of them can be hot.
@@ -36,10 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteready.llm.tasks import remainder, stored
-from siteready.llm.words import Words, mix, run_hashes, slices
+from siteready.llm.words import Words, mix, slices
 
-#: Counters of each context, shortest first, as powers of two.
-BITS = (16, 18, 20, 20, 22)
+#: Counters of each hashed context, shortest first, as powers of two.
+BITS = (16, 18, 20, 20)
+CONTEXTS = len(BITS) + 1  # and the whole word so far
 BLOCK = 1 << 14
 OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in BITS])))
 SLOTS = int(OFFSETS[-1])
@@ -49,13 +54,16 @@ _PRIOR = 0.4
 _RIDGE = 100.0  # keeps the first steps small
 _BUCKETS = 33  # of the refining map, over log odds from -8 to 8
 _LEVELS = 14  # of how often the whole word so far has been seen
-_GATES = (len(BITS) + _LEVELS) * 8
+_GATES = (CONTEXTS + _LEVELS) * 8
 #: Bytes of words that are coded at once.
 _CHUNK = 1 << 15
+#: First bytes of a word (with its space) by which words are shuffled, and bytes of words whose beginnings are counted at once.
+HEAD_BYTES, _GROUP_BYTES = 3, 1 << 20
 
 
 @dataclass
 class Model:
+    words: DataFrame  # those learned from
     zeros: np.ndarray
     ones: np.ndarray
     weights: np.ndarray  # gates x contexts
@@ -73,7 +81,6 @@ def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
         before = at - back
         context = context << np.uint64(9) | np.where(before >= start, wide[before], np.uint64(0))
         contexts.append(context)
-    contexts.append(run_hashes(data, start, at))
     return data, np.repeat(np.arange(len(words)), sizes), [mix(c + np.uint64(k + 1)) for k, c in enumerate(contexts)]
 
 
@@ -107,6 +114,98 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
             yield part, part.column(batch.schema.get_field_index("word")).to_pylist()
 
 
+def _beginnings(words: list[bytes], c: np.ndarray, group: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often the beginning before each bit of each word was followed by 0 and by 1 (bits x bytes), from byte
+    ``level`` on; words of a group share the bytes before it."""
+    data, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+    starts, counts = np.cumsum(sizes) - sizes, np.zeros((2, 8, len(data)), np.float32)
+    alone = sizes.copy()  # from where on a word shares its beginning with no other
+    active = np.flatnonzero(sizes > level)
+    g = group[active]
+    while len(active):
+        at, w = starts[active] + level, c[active]
+        for i in range(8):
+            bit = data[at] >> (7 - i) & 1
+            total, ones = np.bincount(g, w), np.bincount(g, w * bit)
+            counts[0, i, at], counts[1, i, at] = (total - ones)[g], ones[g]
+            g = g * 2 + bit
+            used = np.zeros(2 * len(total), np.int64)
+            used[g] = 1
+            g = (np.cumsum(used) - 1)[g]
+        level += 1
+        single = np.bincount(g)[g] == 1
+        alone[active[single]] = level
+        keep = ~single & (sizes[active] > level)
+        active, g = active[keep], g[keep]
+    at = np.flatnonzero(np.arange(len(data)) - np.repeat(starts, sizes) >= np.repeat(alone, sizes))
+    own = np.repeat(c, sizes)[at]
+    for i in range(8):
+        bit = data[at] >> (7 - i) & 1
+        counts[0, i, at], counts[1, i, at] = own * (1 - bit), own * bit
+    return counts[0], counts[1]
+
+
+def _head(words: DataFrame) -> DataFrame:
+    return words.withColumn("head", F.substring(F.concat("word", F.lit(b" ")), 1, HEAD_BYTES))
+
+
+def _heads(words: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The distinct first bytes of words (head, c), and the counts of their beginnings: 2 x heads x bytes x bits."""
+    found = words.groupBy("head").agg(F.sum("c").alias("c")).orderBy("head").toArrow()
+    heads = found["head"].to_pylist()
+    if not heads:
+        return [], np.zeros((2, 0, HEAD_BYTES, 8), np.float32)
+    sizes = np.array([len(h) for h in heads])
+    counts = np.zeros((2, len(heads), HEAD_BYTES, 8), np.float32)
+    inside = np.arange(HEAD_BYTES) < sizes[:, None]
+    for bit, n in enumerate(_beginnings(heads, found["c"].to_numpy().astype(float), np.zeros(len(heads), np.int64), 0)):
+        counts[bit][inside] = n.T
+    return heads, counts
+
+
+def _together(words: DataFrame) -> DataFrame:
+    """Words by their first bytes: those of one beginning follow each other in one task, the beginnings in hashed order."""
+    return words.repartition("head").sortWithinPartitions(F.xxhash64("head"), "head")
+
+
+def _with_beginnings(batches: Iterator[pa.RecordBatch], heads: list[bytes], above: np.ndarray) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+    """Chunks of words (head, word, c, ...) from _together with the counts of the whole word so far: 2 x bits x bytes."""
+    place = {h: i for i, h in enumerate(heads)}
+
+    def done(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        words, of = table.column(1).to_pylist(), np.array([place[h] for h in table.column(0).to_pylist()])
+        group = np.unique(of, return_inverse=True)[1]
+        counts = np.stack(_beginnings([w + b" " for w in words], table.column(2).to_numpy().astype(float), group, HEAD_BYTES))
+        sizes = np.array([len(w) + 1 for w in words])
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        first, owner = at < HEAD_BYTES, np.repeat(of, sizes)
+        for bit in (0, 1):
+            counts[bit][:, first] = above[bit][owner[first], at[first]].T
+        # Every chunk takes words of all beginnings, as weights learned on a few would stray.
+        k = min(len(words), max(1, int(ends[-1]) // _CHUNK))
+        index = np.repeat(np.arange(len(words)), sizes) % k
+        for j in range(k):
+            yield table.take(pa.array(np.arange(j, len(words), k))), words[j::k], counts[:, :, index == j]
+
+    held, size = [], 0
+    for batch in batches:
+        head = batch.column(0).to_pylist()
+        edges = [i for i in range(batch.num_rows) if (head[i - 1] if i else held[-1].column(0)[-1].as_py() if held else None) != head[i]]
+        lengths, start = pc.binary_length(batch.column(1)).to_numpy(), 0
+        for stop in [*edges, batch.num_rows]:
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(lengths[start:stop].sum()) + stop - start
+            if size > _GROUP_BYTES and stop < batch.num_rows:
+                yield from done(held)
+                held, size = [], 0
+            start = stop
+    if held:
+        yield from done(held)
+
+
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.log((ones + _PRIOR) / (zeros + _PRIOR)), -8.0, 8.0)
 
@@ -118,16 +217,16 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 def _gate(seen: np.ndarray, level: np.ndarray, bit: int) -> np.ndarray:
     """The bit, and the level of the whole word so far or, below it, the longest shorter context seen (0: none)."""
-    shorter = np.where(seen.any(0), len(BITS) - 1 - seen[::-1].argmax(0), 0)
-    return np.where(level > 0, len(BITS) - 1 + level, shorter) * 8 + bit
+    shorter = np.where(seen.any(0), CONTEXTS - 1 - seen[::-1].argmax(0), 0)
+    return np.where(level > 0, CONTEXTS - 1 + level, shorter) * 8 + bit
 
 
 def _start() -> np.ndarray:
     """Weights before learning: the longest context counts by how often it has been seen, shorter ones share the rest."""
     shares = np.array([0.05, 0.15, 0.3, 0.5])
-    weights = np.zeros((len(BITS) + _LEVELS, len(BITS)))
+    weights = np.zeros((CONTEXTS + _LEVELS, CONTEXTS))
     for gate, row in enumerate(weights):
-        level = gate - len(BITS) + 1
+        level = gate - CONTEXTS + 1
         longest = min(max(gate, 1), len(shares))
         row[:longest] = shares[-longest:] / shares[-longest:].sum()
         if level > 0:
@@ -185,8 +284,6 @@ def _train_counters(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 for bit in (0, 1):
                     hit = bits == bit
                     for k in range(len(BITS)):
-                        if k == len(BITS) - 1:
-                            hit = hit & (weight > 1)
                         np.add.at(both[bit], slots[k][hit], weight[hit])
         blocks = np.flatnonzero(both.reshape(2, -1, BLOCK).any((0, 2)))
         for b in blocks:
@@ -207,17 +304,18 @@ def _train_counters(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shared = vocabulary.sparkSession.sparkContext.broadcast((zeros, ones))
+    words = _head(vocabulary.where("c > 0")).select("head", "word", "c")
+    shared = vocabulary.sparkSession.sparkContext.broadcast((zeros, ones, *_heads(words)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zeros, ones = shared.value
+        zeros, ones, heads, above = shared.value
         weights = _start()
-        bend = np.tile(np.eye(len(BITS)) * _RIDGE, (_GATES, 1, 1))
+        bend = np.tile(np.eye(CONTEXTS) * _RIDGE, (_GATES, 1, 1))
         worth, hits = np.zeros(_GATES), np.zeros((2, _GATES, _BUCKETS))
-        for part, words in _word_batches(batches):
-            c = part.column(1).to_numpy().astype(float)
+        for part, words, whole in _with_beginnings(batches, heads, above):
+            c = part.column(2).to_numpy().astype(float)
             for i, owner, bits, slots in _coded(words):
-                n0, n1 = zeros[slots] - (bits == 0), ones[slots] - (bits == 1)
+                n0, n1 = np.vstack((zeros[slots], whole[0, i])) - (bits == 0), np.vstack((ones[slots], whole[1, i])) - (bits == 1)
                 n0, n1 = np.maximum(n0, 0.0), np.maximum(n1, 0.0)
                 odds, gate, weight = _odds(n0, n1), _gate(n0[:-1] + n1[:-1] > 0, _level(n0[-1] + n1[-1]), i), c[owner]
                 z = (weights[gate] * odds.T).sum(1)
@@ -230,7 +328,7 @@ def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -
                 worth += np.bincount(gate, weight, _GATES)
                 # A Newton step on all that this task has seen so far, for each gate.
                 slope = np.stack([np.bincount(gate, weight * (bits - p) * x, _GATES) for x in odds], 1)
-                for k in range(len(BITS)):
+                for k in range(CONTEXTS):
                     for m in range(k + 1):
                         bend[:, k, m] += np.bincount(gate, weight * np.maximum(p * (1 - p), 1e-3) * odds[k] * odds[m], _GATES)
                         bend[:, m, k] = bend[:, k, m]
@@ -238,13 +336,13 @@ def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -
         learned = np.concatenate(((weights * worth[:, None]).ravel(), worth, hits.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(learned), dtype=np.int32)), pa.array(learned)], names=["at", "value"])
 
-    sizes = np.cumsum([_GATES * len(BITS), _GATES])
+    sizes = np.cumsum([_GATES * CONTEXTS, _GATES])
     learned = np.zeros(sizes[-1] + 2 * _GATES * _BUCKETS)
     # Some ten thousand numbers, summed over all tasks.
-    summed = vocabulary.where("c > 0").select("word", "c").mapInArrow(learn, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    summed = _together(words).mapInArrow(learn, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
     learned[summed["at"].to_numpy()] = summed["value"].to_numpy()
     weights, worth, hits = np.split(learned, sizes)
-    weights, hits = weights.reshape(_GATES, len(BITS)), hits.reshape(2, _GATES, _BUCKETS)
+    weights, hits = weights.reshape(_GATES, CONTEXTS), hits.reshape(2, _GATES, _BUCKETS)
     shared.unpersist()
     weights = np.where(worth[:, None] > 0, weights / np.where(worth > 0, worth, 1.0)[:, None], _start())
     # Each bucket starts as its own log odds, worth a few sightings.
@@ -255,30 +353,34 @@ def _train_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray) -
 
 def train(vocabulary: DataFrame) -> Model:
     zeros, ones = _train_counters(vocabulary)
-    return Model(zeros, ones, *_train_weights(vocabulary, zeros, ones))
+    return Model(vocabulary, zeros, ones, *_train_weights(vocabulary, zeros, ones))
 
 
 def _score_words(vocabulary: DataFrame, model: Model) -> DataFrame:
     """vocabulary with logp: log10 of the model's probability of each word."""
-    odds, seen = _odds(model.zeros, model.ones).astype(np.float32), model.zeros + model.ones
-    seen = np.concatenate((seen[: OFFSETS[-2]] > 0, _level(seen[OFFSETS[-2]:]))).astype(np.uint8)
-    shared = vocabulary.sparkSession.sparkContext.broadcast((odds, seen, model.weights, model.refined))
+    odds, seen = _odds(model.zeros, model.ones).astype(np.float32), model.zeros + model.ones > 0
+    asked = vocabulary.select("word", F.col("c").alias("learned"), "hash", "n", "c", F.lit(True).alias("asked"))
+    if vocabulary is not model.words:
+        asked = asked.withColumn("learned", F.lit(0).cast("long")).unionByName(
+            model.words.where("c > 0").select("word", F.col("c").alias("learned"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("n"), "c", F.lit(False).alias("asked")))
+    words = _head(asked).select("head", "word", "learned", "hash", "n", "c", "asked")
+    shared = vocabulary.sparkSession.sparkContext.broadcast((odds, seen, model.weights, model.refined, *_heads(words.select("head", F.col("learned").alias("c")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, seen, weights, refined = shared.value
-        for part, words in _word_batches(batches):
+        odds, seen, weights, refined, heads, above = shared.value
+        for part, words, whole in _with_beginnings(batches, heads, above):
             cost = np.zeros(len(words))
             for i, owner, bits, slots in _coded(words):
-                known = seen[slots]
-                gate = _gate(known[:-1] > 0, known[-1].astype(np.int64), i)
-                z = (weights[gate] * odds[slots].T).sum(1)
+                gate = _gate(seen[slots], _level(whole[0, i] + whole[1, i]), i)
+                z = (weights[gate] * np.vstack((odds[slots], _odds(whole[0, i], whole[1, i]))).T).sum(1)
                 low, up = _bucket(z)
                 r = refined[gate, low] * (1 - up) + refined[gate, low + 1] * up
                 p = np.clip((_likely(z) + _likely(r)) / 2, 1e-6, 1 - 1e-6)
                 cost += np.bincount(owner, np.log10(np.where(bits == 1, p, 1 - p)), len(words))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(cost)], names=["hash", "n", "c", "logp"])
+            out = pa.RecordBatch.from_arrays([part.column(3), part.column(4), part.column(5), pa.array(cost)], names=["hash", "n", "c", "logp"])
+            yield out.filter(part.column(6))
 
-    return vocabulary.select("hash", "word", "n", "c").mapInArrow(run, "hash long, n long, c long, logp double")
+    return _together(words).mapInArrow(run, "hash long, n long, c long, logp double")
 
 
 def score(docs: DataFrame) -> DataFrame:

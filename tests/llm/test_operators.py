@@ -336,6 +336,30 @@ def test_context_mixing_is_a_distribution_and_learns(spark):
     assert sum(known.values()) / len(known) > -3 > odd
 
 
+def test_context_mixing_counts_whole_beginnings_exactly(spark):
+    rng = random.Random(4)
+    pool = sorted({prose(rng, 1).encode() for _ in range(3000)} | {b"", b"a", b"ab", b"x" * 3000, "ünï".encode(), "üné".encode()})
+    c = [rng.choice([0, 1, 1, 2, 9]) for _ in pool]  # words seen once count
+    want = [defaultdict(int), defaultdict(int)]
+    for w, n in zip(pool, c):
+        bits = "".join(f"{b:08b}" for b in w + b" ")
+        for k in range(len(bits) if len(w) < 100 else 200):
+            want[bits[k] == "1"][bits[:k]] += n
+    words_ = context_mixing._head(spark.createDataFrame(list(zip(pool, c)), "word binary, c long")).select("head", "word", "c")
+    heads, above = context_mixing._heads(words_)
+    parts = context_mixing._together(words_).toArrow().to_batches(max_chunksize=70)
+    seen = set()
+    for _, some, counts in context_mixing._with_beginnings(iter(parts), heads, above):
+        at = 0
+        for w in some:
+            bits = "".join(f"{b:08b}" for b in w + b" ")
+            for k in range(len(bits) if len(w) < 100 else 200):
+                assert [counts[b][k % 8][at + k // 8] for b in (0, 1)] == [want[b][bits[:k]] for b in (0, 1)]
+            at += len(w) + 1
+            seen.add(w)
+    assert len(seen) == len(pool)
+
+
 def test_chat_format_round_trip(spark):
     hard = ["\\### Assistant: </turn> ok", "###", "</turn>", "\n</turn>\n", "\\", "\\\\###\\", "", None, "a\n### user\nb", "\\n"]
     rows = [(1, i, r, t, 1) for i, (r, t) in enumerate(zip(["user", "assistant", "a\nb", None, "ass\\nistant"] * 2, hard))]
