@@ -11,7 +11,7 @@ from siteready.functions import text as T
 from siteready.functions import urls as U
 from siteready.functions.numbers import round_half_even
 from siteready.operators.quantiles import nearest_rank
-from siteready.operators.scan import with_last, with_previous, with_running
+from siteready.operators.scan import follow, with_last, with_previous, with_running
 
 PAGE = ["run_id", "page_id"]
 
@@ -172,32 +172,47 @@ def blocking_time(tasks: DataFrame, pages: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "long_frame").alias("loaf_count"))
 
 
-def layout_shift(shifts: DataFrame) -> DataFrame:
+def layout_shift(shifts: DataFrame, gap_ms: float = 1000.0, span_ms: float = 5000.0) -> DataFrame:
     """Per page: CLS (largest session window) and the sum of input-caused shifts.
 
-    A window closes on a gap of 1 s or at a span of 5 s. Gaps split a page into islands first; only inside an island
-    does the span cap depend on order, so the fold runs per island, never over a whole page.
+    A window closes on a gap of 1 s or at a span of 5 s. Gaps cut a page into islands; an island within the span is one
+    window and its sum needs no order. In a longer island the window that would begin at a shift ends where the next
+    one begins, and following these links from the island's first shift gives its windows: rows are spread by (page,
+    island, 5 s), so a page that shifts without a pause is many tasks. Start times do not fall along seq.
     shifts: run_id, page_id, seq, start_ms, value, had_input.
     """
     free = shifts.where("not had_input").select(*PAGE, "seq", "start_ms", "value")
     free = with_previous(free, PAGE, "seq", ["start_ms"], 1)
-    gap = F.col("prev1").isNull() | (F.col("start_ms") - F.col("prev1.start_ms") >= 1000)
-    free = with_running(free, PAGE, "seq", {"island": F.when(gap, 1).otherwise(0)})
-    items = F.array_sort(F.collect_list(F.struct("seq", "start_ms", "value")))
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0.0).alias("win"), F.lit(0.0).alias("best"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = a["first"].isNull() | (s["start_ms"] - a["first"] >= 5000)
-        win = F.when(fresh, s["value"]).otherwise(a["win"] + s["value"])
-        return F.struct(F.when(fresh, s["start_ms"]).otherwise(a["first"]).alias("first"), win.alias("win"),
-                        F.greatest(a["best"], win).alias("best"))
-
-    islands = free.groupBy(*PAGE, "island").agg(F.aggregate(items, start, step, lambda a: a["best"]).alias("_best"))
-    cls = islands.groupBy(*PAGE).agg(round_half_even(F.max("_best"), 4).alias("cls"))
+    gap = F.col("prev1").isNull() | (F.col("start_ms") - F.col("prev1.start_ms") >= gap_ms)
+    free = with_running(free, PAGE, "seq", {"island": F.when(gap, 1).otherwise(0), "_upto": F.col("value")})
+    part = [*PAGE, "island"]
+    spans = free.groupBy(*part).agg(F.min("start_ms").alias("_from"), F.max("start_ms").alias("_to"), F.sum("value").alias("win"), F.min("seq").alias("_first"), F.max("_upto").alias("_all"))
+    capped = F.col("_to") - F.col("_from") >= span_ms
+    windows = spans.where(~capped).select(*PAGE, "win").unionByName(_capped_windows(free, spans.where(capped), part, span_ms))
+    cls = windows.groupBy(*PAGE).agg(round_half_even(F.max("win"), 4).alias("cls"))
     post = shifts.groupBy(*PAGE).agg(round_half_even(F.sum(F.when(F.col("had_input"), F.col("value")).otherwise(0.0)), 4).alias("cls_post_input"))
     return post.join(cls, PAGE, "left").withColumn("cls", F.coalesce("cls", F.lit(0.0)))
 
 
+def _capped_windows(free: DataFrame, spans: DataFrame, part: list[str], span_ms: float) -> DataFrame:
+    """(page, win): the windows of islands longer than the span."""
+    rows = free.join(spans.select(*part, "_first", "_all"), part)
+    slot = lambda at: F.floor(at / span_ms)
+    here = rows.select(*part, slot(F.col("start_ms")).alias("_slot"), F.col("start_ms").alias("_at"), F.lit(1).alias("_kind"), "seq", F.lit(None).cast("long").alias("_of"))
+    end = F.col("start_ms") + span_ms
+    ends = rows.select(*part, slot(end).alias("_slot"), end.alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("seq"), F.col("seq").alias("_of"))
+    # The first shift at or after a window's end lies in the end's slot, or is the first of the next one: slots of an
+    # island are not empty, as the span exceeds the gap.
+    ahead = Window.partitionBy(*part, "_slot").orderBy("_at", "_kind", "seq").rowsBetween(0, Window.unboundedFollowing)
+    found = here.unionByName(ends).withColumn("_next", F.first("seq", ignorenulls=True).over(ahead)).where("_kind = 0")
+    heads = rows.groupBy(*part, (slot(F.col("start_ms")) - 1).alias("_slot")).agg(F.min("seq").alias("_head"))
+    links = found.join(heads, [*part, "_slot"], "left").select(*part, F.col("_of").alias("pos"), F.coalesce("_next", "_head").alias("nxt"))
+    starts = follow(links, spans.select(*part, F.col("_first").alias("pos")), part)
+    begun = rows.select(*part, F.col("seq").alias("pos"), (F.col("_upto") - F.col("value")).alias("_before"), "_all").join(starts, [*part, "pos"])
+    after = F.lead("_before").over(Window.partitionBy(*part).orderBy("pos"))
+    return begun.select(*[k for k in part if k != "island"], (F.coalesce(after, F.col("_all")) - F.col("_before")).alias("win"))
+
+
 def mark_spontaneous(events: DataFrame, quiet_ms: float = 2000.0, ticks: int = 3) -> DataFrame:
     """Events with flags: spontaneous (over 2 s after load and the latest mark) and excluded (its key repeats: a poller
     or ticker, from its third spontaneous time on).

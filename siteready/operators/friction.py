@@ -116,7 +116,6 @@ def metrics(steps: DataFrame, journeys: DataFrame, catalog: Catalog | None = Non
     """
     from siteready.operators.quantiles import weighted_median
 
-    catalog = catalog or default_catalog()
     summary = step_summary(steps)
     response = weighted_median(response_rows(steps), ["run_id"], F.col("response_ms"), 1, "response_ms")
     rages = rage(steps).groupBy("run_id").agg(F.count_if("rage_start").alias("rage_events"))
@@ -124,8 +123,21 @@ def metrics(steps: DataFrame, journeys: DataFrame, catalog: Catalog | None = Non
             .groupBy("run_id").agg(F.sum("_n").alias("visits"), F.count(F.lit(1)).alias("unique_pages")))
     j = journeys.join(summary, "run_id", "left").join(response, "run_id", "left").join(rages, "run_id", "left").join(
         path, "run_id", "left")
-    j = j.na.fill(0, [c for c in summary.columns if c not in ("run_id", "shifts", "max_shift", "longest", "site_ms",
-                                                              "decision_ms")] + ["rage_events", "visits", "unique_pages"])
+    return observations(j, catalog)
+
+
+_COUNTS = ("done", "acts", "seen", "timed", "indoc", "answered", "request_inclusive", "unsettled", "settle_timeouts", "every_click", "clicks", "dead", "judged", "moved",
+           "unexpected", "new_tabs", "chosen_external", "rage_events", "visits", "unique_pages")
+
+
+def observations(summaries: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """The twelve friction observations from one summary row per journey, whether a batch or a stream made it.
+
+    summaries: the columns of journeys (see ``metrics``) and of ``step_summary``, rage_events, visits, unique_pages,
+    response_ms; a journey without steps has nulls.
+    """
+    catalog = catalog or default_catalog()
+    j = summaries.na.fill(0, [c for c in _COUNTS if c in summaries.columns])
     acts, seen, has_visits = F.col("acts") > 0, F.col("seen") > 0, F.col("visits") > 0
     none_executed = F.lit("not_applicable:no_action_executed")
     untried = F.when(acts, F.lit("no_measurement")).otherwise(F.lit("not_applicable:no_interaction"))

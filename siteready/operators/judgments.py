@@ -10,6 +10,7 @@ from siteready.dims import constants as K
 from siteready.dims import catalog as C
 from siteready.functions import text as T
 from siteready.functions.numbers import round_half_even
+from siteready.operators.scan import follow, with_running
 
 
 def select_snippets(snippets: DataFrame, kinds: DataFrame, limit: int = K.MAX_SNIPPETS) -> DataFrame:
@@ -311,13 +312,36 @@ def parse_verdicts(raw: DataFrame, tasks: DataFrame) -> DataFrame:
     return rows.join(tasks.select("run_id", "task_id"), ["run_id", "task_id"], "left_semi")
 
 
-def page_tasks(tasks: DataFrame, limit: int = K.TASK_PAGE, budget: int = K.TASK_PAGE_CHARS) -> DataFrame:
+def page_tasks(tasks: DataFrame, limit: int = K.TASK_PAGE, budget: int = K.TASK_PAGE_CHARS, together: int = 4096) -> DataFrame:
     """Numbers a run's tasks into pages of at most `limit` tasks and `budget` weighted characters.
 
-    A page always takes its first task; the next starts when either bound would be passed. The cut depends on where
-    the last page ended, so it is a fold over the run's task sizes (ids and sizes only, not texts). tasks: run_id,
-    task_id, task_ord, chars.
+    A page always takes its first task; the next starts when either bound would be passed. Runs of up to ``together``
+    tasks are folded as one row of ids and sizes; in longer ones the page that would start at a task says where the next
+    one starts, and these links are followed from the first task (see ``scan.follow``). Both give the same pages.
+    tasks: run_id, task_id, task_ord, chars.
     """
+    counted = tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    short = tasks.join(counted.where(F.col("_n") > together), "run_id", "left_anti")
+    long = tasks.join(counted.where(F.col("_n") > together), "run_id", "left_semi")
+    return _folded_pages(short, limit, budget).unionByName(_linked_pages(long, limit, budget))
+
+
+def _linked_pages(tasks: DataFrame, limit: int, budget: int, chunk: int = 10_000) -> DataFrame:
+    sized = with_running(tasks.select("run_id", "task_id", "task_ord", "chars"), ["run_id"], "task_ord", {"pos": F.lit(1), "_upto": F.col("chars")})
+    here = F.floor((F.col("pos") - 1) / chunk)
+    near = F.when((F.col("pos") - 1) % chunk < limit, here - 1)  # the first rows of a chunk also end the one before it
+    spread = sized.select("run_id", "pos", "chars", "_upto", F.explode(F.array_compact(F.array(here, near))).alias("_chunk"), here.alias("_own"))
+    next_rows = F.collect_list("_upto").over(Window.partitionBy("run_id", "_chunk").orderBy("pos").rowsBetween(1, limit))
+    fits = F.size(F.filter("_next", lambda x: x <= F.col("_upto") - F.col("chars") + budget))
+    step = F.least(F.lit(limit), fits + 1)
+    links = (spread.withColumn("_next", next_rows).where("_chunk = _own")
+             .select("run_id", "pos", F.when(F.size("_next") >= step, F.col("pos") + step).alias("nxt")))
+    starts = follow(links, sized.where("pos = 1").select("run_id", "pos"), ["run_id"]).withColumn("_start", F.lit(1))
+    paged = with_running(sized.join(starts, ["run_id", "pos"], "left"), ["run_id"], "pos", {"_page": F.coalesce("_start", F.lit(0))})
+    return paged.select("run_id", "task_id", (F.col("_page") - 1).cast("int").alias("page"))
+
+
+def _folded_pages(tasks: DataFrame, limit: int, budget: int) -> DataFrame:
     sizes = F.array_sort(F.collect_list(F.struct("task_ord", "task_id", "chars")))
     start = F.struct(F.lit(0).alias("page"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"),
                      F.array().cast("array<struct<task_id:string,page:int>>").alias("out"))

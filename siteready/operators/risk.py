@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from siteready.dims import constants as K
 from siteready.functions import text as T
 from siteready.functions.numbers import round_half_even
+from siteready.operators.components import components
 from siteready.operators.scan import with_previous, with_running
 
 
@@ -53,6 +54,42 @@ def same_product(a_url: Column, b_url: Column, a_sku: Column, b_sku: Column, a_t
                       .when((a_sku != "") & (b_sku != ""), T.fold(a_sku) == T.fold(b_sku)).otherwise(title), F.lit(False))
 
 
+def product_clusters(visits: DataFrame, keys: list[str], id: str = "visit_id") -> DataFrame:
+    """keys, id, product: the least id of all visits that show one product, over any number of steps.
+
+    Two visits show one product as ``same_product`` says. Visits never meet as pairs: those with one URL or one sku meet
+    at a node for it. A title decides only where one of the two has no sku, so visits without a sku meet at a node for
+    their title, and every visit joins the nodes of titles that its own extends by a word or that extend its own; a
+    title of n words looks up n beginnings. Ids are longs, unique within the keys.
+    """
+    n = F.coalesce(T.fold(F.col("sku")), F.lit(""))
+    rows = visits.select(*keys, F.col(id).cast("long").alias("_id"), F.coalesce("url", F.lit("")).alias("_url"), n.alias("_sku"), F.coalesce(T.fold(F.col("title")), F.lit("")).alias("_title"))
+
+    def node(kind: str, value: Column) -> Column:
+        where = [F.lit(kind), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], value]
+        return F.struct(F.lit(1).alias("kind"), F.xxhash64(*where).alias("x"), F.xxhash64(F.lit("and"), *where).alias("y"))
+
+    at = F.struct(F.lit(0).alias("kind"), F.col("_id").alias("x"), F.xxhash64(*keys).alias("y"))
+    rows = rows.withColumn("a", at)
+    urls = rows.where("_url != ''").select("a", node("url", F.col("_url")).alias("b"))
+    skus = rows.where("_sku != ''").select("a", node("sku", F.col("_sku")).alias("b"))
+    titled = rows.where("_title != ''")
+    bare = titled.where("_sku = ''")
+    own = bare.select("a", node("title", F.col("_title")).alias("b"))
+    words = F.split("_title", " ", -1)
+    begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, 1, i), " "))
+    # Titles by their beginnings: a title meets the shorter ones it extends, equal ones included.
+    titles = titled.groupBy(*keys, "_title").agg(F.max(F.col("_sku") == "").alias("_bare"))
+    shorter = titles.select(*keys, F.col("_title").alias("_short"), F.col("_bare").alias("_short_bare"))
+    pairs = titles.withColumn("_short", F.explode(begins)).join(shorter, [*keys, "_short"])
+    up = pairs.where("_short_bare").select(*keys, "_title", node("title", F.col("_short")).alias("b"))
+    down = pairs.where("_bare").select(*keys, F.col("_short").alias("_title"), node("title", F.col("_title")).alias("b"))
+    extended = titled.join(up.unionByName(down).distinct(), [*keys, "_title"]).select("a", "b")
+    found = components(urls.unionByName(skus).unionByName(own).unionByName(extended))
+    out = rows.join(found, F.col("a") == F.col("node"), "left")
+    return out.select(*keys, F.col("_id").alias(id), F.coalesce(F.col("component.x"), F.col("_id")).alias("product"))
+
+
 def sneak_into_basket(lines: DataFrame, added: DataFrame) -> DataFrame:
     """Per cart: confidence that items were added unasked, or why it cannot be told.
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siteready.session import shared_dir
+
 CHUNK = 250_000
 
 
@@ -79,3 +81,40 @@ def with_last(df: DataFrame, keys: list[str], order: str, values: dict[str, Colu
     for n in values:
         out = out.withColumn(n, F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(here), F.col(f"_c_{n}")))
     return out.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder of the shared checkpoint folder and read again, so that later steps start there."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def follow(links: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """The positions that are reached from the first ones by following links, these included: (keys, pos).
+
+    A greedy cut ("start anew when the bound is passed") depends on where the last piece began, which looks sequential;
+    but where a piece that begins at a row would end is known for every row. Jumps of 2, 4, 8, ... pieces are made by
+    joining the links with themselves; taking the longest jumps first, every reached position doubles the reached ones.
+    That is two joins for each doubling of the number of pieces, all spread by (keys, pos), whatever the longest key.
+
+    links: keys, pos, nxt (null: the last piece). first: keys, pos.
+    """
+    here, there = [*keys, "pos"], [F.col(k).alias(f"_{k}") for k in keys]
+    jump = stored(links.where("nxt is not null").select(*here, "nxt"), "links")
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        ahead = jump.select(*there, F.col("pos").alias("_pos"), F.col("nxt").alias("_nxt"))
+        on = F.col("nxt") == F.col("_pos")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        jump = stored(jump.join(ahead, on).select(*here, F.col("_nxt").alias("nxt")), "links")
+    reached = first.select(*here)
+    for jump in reversed(jumps):
+        ahead = jump.select(*there, F.col("pos").alias("_pos"), "nxt")
+        on = F.col("pos") == F.col("_pos")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        reached = stored(reached.unionByName(reached.join(ahead, on).select(*keys, F.col("nxt").alias("pos"))), "reached")
+    return reached

@@ -159,9 +159,41 @@ def run_context(base: DataFrame, extra: DataFrame | None = None) -> DataFrame:
             .withColumn("judged_run", F.col("judged_run") | F.coalesce("_g", F.lit(False))).drop("_p", "_j", "_g"))
 
 
-def _grouped(rows: DataFrame, extra: DataFrame | None, catalog: Catalog) -> DataFrame:
+def _ranked(rows: DataFrame, catalog: Catalog) -> DataFrame:
+    """The values that a median may have to read again: those of KPIs with a median."""
+    ids = [k.id for k in catalog.kpis.values() if k.aggregate in ("wmedian", "median")]  # reaches the scan
+    return rows.where(F.col("kpi_id").isin(*ids) & F.col("x").isNotNull()).select("run_id", "kpi_id", "bucket", "profile", "x", "w")
+
+
+def partials(obs: DataFrame, catalog: Catalog | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, values): all that scores need of observations, in a form that merges with that of later observations.
+
+    cells: counts, sums and extremes per (run, KPI, profile, bucket). values: the weight of each value of the KPIs that
+    take a median. Both are bounded by the distinct values of a run, not by its rows.
+    """
+    catalog = catalog or default_catalog()
+    rows = prepare_rows(obs, catalog)
+    values = _ranked(rows, catalog).groupBy("run_id", "kpi_id", "bucket", "profile", "x").agg(F.sum("w").alias("w"))
+    return _base(rows), values
+
+
+_CELL_SUMS = ("n_rows", "n_usable", "n_num", "sum_x", "w")
+_CELL_LEAST = ("min_x", "all_true", "row_ord", "use_ord", "pending", "worst_reason", "first_v")
+_CELL_MOST = ("max_x", "any_true", "judged_source", "asked_judgment", "journey_row", "best_v", "strongest")
+
+
+def merge_partials(cells: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells and values of the same runs from several sets of observations, as those of all together."""
+    kinds = ((F.sum, _CELL_SUMS), (F.min, _CELL_LEAST), (F.max, _CELL_MOST))
+    merged = {n: how(n).alias(n) for how, names in kinds for n in names}
+    keys = ["run_id", "kpi_id", "profile", "bucket"]
+    one = cells.groupBy(*keys).agg(*[merged[n] for n in cells.columns if n not in keys])
+    return one, values.groupBy("run_id", "kpi_id", "bucket", "profile", "x").agg(F.sum("w").alias("w"))
+
+
+def _grouped(cells: DataFrame, values: DataFrame, extra: DataFrame | None) -> DataFrame:
     """One row per (run, scope, KPI) with merged state and the median."""
-    base = run_context(_base(rows), extra)
+    base = run_context(cells, extra)
     own = F.col("profile").eqNullSafe(F.col("scope"))
     context = [F.first("journey_profiles").alias("journey_profiles"), F.first("judged_run").alias("judged_run")]
     cells = fan_out(base).groupBy("run_id", "kpi_id", "scope", "bucket").agg(*_merge_exprs(own), *context)
@@ -196,7 +228,7 @@ def _grouped(rows: DataFrame, extra: DataFrame | None, catalog: Catalog) -> Data
                   .select("run_id", "kpi_id", "scope", F.explode(sides).alias("_side"))
                   .select("run_id", "kpi_id", "scope", *[F.col("_side")[c].alias(c) for c in ("side", "bucket", "r")])
                   .where("bucket is not null"))
-    found = _fetch_ranks(rows, open_ranks, catalog)
+    found = _fetch_ranks(values, open_ranks)
     keep = [c for c in grouped.columns if c not in ("low_u", "high_u")]
     merged = (grouped.select(*keep).unionByName(found, allowMissingColumns=True).repartition("run_id")
               .groupBy("run_id", "kpi_id", "scope")
@@ -204,13 +236,10 @@ def _grouped(rows: DataFrame, extra: DataFrame | None, catalog: Catalog) -> Data
     return merged.withColumn("median_x", (F.col("low_x") + F.col("high_x")) / 2).drop("low_x", "high_x")
 
 
-def _fetch_ranks(rows: DataFrame, ranks: DataFrame, catalog: Catalog) -> DataFrame:
-    """Reads the rows of the wanted buckets only, and picks the value at the rank inside the bucket."""
-    ids = [k.id for k in catalog.kpis.values() if k.aggregate in ("wmedian", "median")]  # reaches the scan
-    numeric = rows.where(F.col("kpi_id").isin(*ids) & F.col("x").isNotNull()).select(
-        "run_id", "kpi_id", "bucket", "profile", "x", "w")
+def _fetch_ranks(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Reads the values of the wanted buckets only, and picks the value at the rank inside the bucket."""
     keys = ["run_id", "kpi_id", "scope", "side"]
-    inside = (numeric.join(ranks, ["run_id", "kpi_id", "bucket"])
+    inside = (values.join(ranks, ["run_id", "kpi_id", "bucket"])
               .where((F.col("scope") == OVERALL) | F.col("profile").isNull() | (F.col("profile") == F.col("scope")))
               .groupBy(*keys, "x").agg(F.sum("w").alias("vw"), F.first("r").alias("r")))
     run = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
@@ -248,10 +277,16 @@ def aggregate_kpis(obs: DataFrame, catalog: Catalog | None = None, extra: DataFr
     """
     catalog = catalog or default_catalog()
     rows = prepare_rows(obs, catalog)
-    registry = catalog.registry(obs.sparkSession).select(
+    return aggregate_partials(_base(rows), _ranked(rows, catalog), catalog, extra)
+
+
+def aggregate_partials(cells: DataFrame, values: DataFrame, catalog: Catalog | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """``aggregate_kpis`` from the cells and values of ``partials``."""
+    catalog = catalog or default_catalog()
+    registry = catalog.registry(cells.sparkSession).select(
         "kpi_id", "owner", F.col("scope").alias("kpi_scope"), "aggregate_mode", F.col("value_type").alias("kpi_type"),
         "weight", "judged", "severity", "credit_unless", "has_points", "has_map")
-    g = _grouped(rows, extra, catalog).join(F.broadcast(registry), "kpi_id")
+    g = _grouped(cells, values, extra).join(F.broadcast(registry), "kpi_id")
     g = _anchor_scores(_pooled(g), catalog)
     any_mode = F.col("aggregate_mode") == "any"
     is_profile = F.col("scope") != OVERALL
@@ -553,6 +588,13 @@ def score_runs(obs: DataFrame, catalog: Catalog | None = None, extra: DataFrame
     return headline(sub_indices(scores, catalog, with_risk=True), None, catalog)
 
 
+def score_partials(cells: DataFrame, values: DataFrame, catalog: Catalog | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """``score_runs`` from the cells and values of ``partials``."""
+    catalog = catalog or default_catalog()
+    scores = kpi_scores(aggregate_partials(cells, values, catalog, extra), catalog)
+    return headline(sub_indices(scores, catalog, with_risk=True), None, catalog)
+
+
 def headline(sub: DataFrame, risk: DataFrame | None, catalog: Catalog | None = None) -> DataFrame:
     """(run, scope) -> published score: weighted geometric mean with a floor, a risk penalty and coverage gates.
 

@@ -35,13 +35,26 @@ def normalise(runs: DataFrame) -> dict[str, DataFrame]:
             "gaps": run_list("not_assessable"), "tasks": run_list("judgments.tasks"), "verdicts": run_list("judgments.verdicts"), "finals": run_list("judgments.final")}
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their exact positions: _file, line_no (from 0), line.
+
+    Files are split as Spark sees fit. Within a split lines are numbered as they are read; the lines of the splits before
+    it, a count per split, are added. So one huge log is read by many tasks and keeps its order.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = raw.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = splits.select("_file", "_block", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return raw.join(offset, ["_file", "_block"]).select("_file", (F.col("_at") + F.col("_offset")).alias("line_no"), F.col("value").alias("line"))
+
+
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
     """Step logs (JSON lines, one file per run); torn lines and lines that are no object are skipped.
 
-    A file is read whole, so line_no is the exact file position. Absent keys stay distinguishable from nulls.
+    line_no is the exact file position, also in a log that many tasks read. Absent keys stay distinguishable from nulls.
     """
-    raw = spark.read.option("wholetext", True).text(path).withColumn("_file", F.col("_metadata.file_path"))
-    lines = raw.select("_file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    lines = read_lines(spark, path).where(F.trim("line") != "")
     doc = lines.withColumn("_v", F.try_parse_json("line")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
     doc = doc.withColumn("s", F.from_json("line", S.ddl(S.STEP)))
     keys = F.json_object_keys("line")

@@ -8,6 +8,7 @@ maxFilesPerTrigger or maxBytesPerTrigger. Sinks write one folder per batch id, s
 from __future__ import annotations
 
 import json
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,11 @@ from pyspark.sql import types as Ty
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siteready.dims import constants as K
+from siteready.dims.catalog import Catalog, default_catalog
+from siteready.operators import scoring as S
 from siteready.session import shared_dir
+from siteready.sources.run_table import RunTable
+from siteready.streaming.stateful import rocksdb_state
 
 
 def read_stream(spark: SparkSession, path: str, schema: Ty.StructType, fmt: str = "parquet", files_per_trigger: int | None = None,
@@ -30,8 +35,10 @@ def read_stream(spark: SparkSession, path: str, schema: Ty.StructType, fmt: str
     return r.load(path)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is available now into per-batch folders, and reads them back with their batch_id."""
+def drain(df: DataFrame, name: str, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Runs a stream over what is available now into per-batch folders, and reads them back with their batch_id.
+
+    timers: the stream has operators of ``stateful``, which need the state store with timers."""
     spark = df.sparkSession
     base = shared_dir(spark, name)
     empty = spark.createDataFrame([], df.schema).withColumn("batch_id", F.lit(-1).cast("long"))
@@ -40,7 +47,8 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     empty.write.mode("overwrite").parquet(f"{base}/out/batch=-1")
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    with rocksdb_state(spark) if timers else nullcontext():
+        q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(empty.schema).parquet(f"{base}/out/batch=*")
 
@@ -202,50 +210,85 @@ def stream_verdicts(checked: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- late rows and re-scoring
-def split_late(events: DataFrame, ts: str, delay_s: int, name: str = "late") -> tuple[DataFrame, DataFrame]:
+def high_water(spark: SparkSession, base: str, batch_id: int) -> DataFrame:
+    """One row: the newest time of all batches before a batch, as the batch before it left it."""
+    return spark.read.schema("one int, high timestamp").parquet(f"{base}/marks/batch={batch_id - 1}")
+
+
+def write_with_late(batch: DataFrame, batch_id: int, base: str, ts: str, delay_s: int) -> None:
+    """Writes a batch's rows as accepted or late, then its own high-water row.
+
+    The mark comes from the one row of the batch before, never from accepted rows, and a batch that is run again finds
+    the same row and decides alike.
+    """
+    spark = batch.sparkSession
+    before = high_water(spark, base, batch_id)
+    marked = batch.withColumn("__one", F.lit(0)).join(F.broadcast(before), F.col("__one") == F.col("one"), "left")
+    old = F.coalesce(F.col(ts) < F.col("high") - F.expr(f"interval {int(delay_s)} seconds"), F.lit(False))
+    rows = marked.select(*[F.col(c) for c in batch.columns], F.lit(batch_id).cast("long").alias("batch_id"), old.alias("late"))
+    path = f"{base}/rows/batch={batch_id}"
+    rows.write.mode("overwrite").partitionBy("late").parquet(path)
+    newest = spark.read.schema(batch.schema).parquet(path).agg(F.lit(0).alias("one"), F.max(ts).cast("timestamp").alias("high"))
+    newest.unionByName(before).groupBy("one").agg(F.max("high").alias("high")).coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
+
+
+def split_late(events: DataFrame, ts: str, delay_s: int, name: str = "late", base: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, late): rows older than the newest earlier batch's time minus the delay go to a side table.
 
-    The high-water mark of a batch is the newest time of the batches before it, read from the accepted table, so a
-    replayed batch decides as it did the first time.
+    base: the folder of a stream that goes on (its checkpoint lies there too); as a rule a new one.
     """
     spark = events.sparkSession
-    base = shared_dir(spark, name)
-    schema = Ty.StructType([*events.schema.fields, Ty.StructField("batch_id", Ty.LongType())])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        before = spark.read.schema(schema).parquet(f"{base}/accepted/batch=*").where(F.col("batch_id") < batch_id)
-        mark = before.agg(F.max(ts).alias("m")).first()["m"]
-        old = F.lit(False) if mark is None else F.coalesce(F.col(ts) < F.lit(mark) - F.expr(f"interval {int(delay_s)} seconds"), F.lit(False))
-        b.where(~old).write.mode("overwrite").parquet(f"{base}/accepted/batch={batch_id}")
-        b.where(old).write.mode("overwrite").parquet(f"{base}/late/batch={batch_id}")
-
-    for table in ("accepted", "late"):
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/{table}/batch=-1")
-    q = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    base = base or shared_dir(spark, name)
+    schema = Ty.StructType([*events.schema.fields, Ty.StructField("batch_id", Ty.LongType()), Ty.StructField("late", Ty.BooleanType()), Ty.StructField("batch", Ty.LongType())])
+    spark.createDataFrame([(0, None)], "one int, high timestamp").coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/batch=-1")
+    q = events.writeStream.foreachBatch(lambda batch, batch_id: write_with_late(batch, batch_id, base, ts, delay_s)).option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return tuple(spark.read.schema(schema).parquet(f"{base}/{t}/batch=*") for t in ("accepted", "late"))
+    spark.createDataFrame([], schema).drop("batch").write.mode("overwrite").partitionBy("late").parquet(f"{base}/rows/batch=-1")
+    rows = spark.read.schema(schema).option("basePath", f"{base}/rows").parquet(f"{base}/rows").drop("batch")
+    return rows.where(~F.col("late")).drop("late"), rows.where("late").drop("late")
 
 
-def stream_scores(observations: DataFrame, score, name: str = "scores") -> DataFrame:
-    """Incremental re-score: each batch adds its rows and scores again the runs it touched, in full.
+def score_batch(batch: DataFrame, batch_id: int, tables: tuple[RunTable, RunTable, RunTable], catalog: Catalog) -> None:
+    """Merges a batch's partial aggregates with those of the runs it touches, and scores these runs again.
 
-    score: observations -> scores with run_id and scope. Returns the newest scores of every run.
+    Reads the batch and the touched runs' aggregates; no earlier observation is read, and no other run's aggregates
+    beyond those that share a shard's files.
     """
+    cells, values, scores = tables
+    batch = batch.persist()
+    runs = batch.select("run_id").distinct()
+    new_cells, new_values = S.partials(batch, catalog)
+    merged = S.merge_partials(cells.rows_of(runs, batch_id - 1).unionByName(new_cells), values.rows_of(runs, batch_id - 1).unionByName(new_values))
+    cells.replace(merged[0], batch_id, runs)
+    values.replace(merged[1], batch_id, runs)
+    scores.replace(S.score_partials(cells.written(batch_id, runs), values.written(batch_id, runs), catalog), batch_id, runs)
+    batch.unpersist()
+
+
+def score_tables(observations: DataFrame, base: str, catalog: Catalog) -> tuple[RunTable, RunTable, RunTable]:
+    """The tables of a re-scoring stream: cells, values and scores by run."""
     spark = observations.sparkSession
-    base = shared_dir(spark, name)
-    schema = observations.schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/obs/batch=-1")
+    none = spark.createDataFrame([], observations.schema)
+    cells, values = S.partials(none, catalog)
+    schemas = (cells.schema, values.schema, S.score_partials(cells, values, catalog).schema)
+    return tuple(RunTable(spark, f"{base}/{name}", schema) for name, schema in zip(("cells", "values", "scores"), schemas))
+
+
+def stream_scores(observations: DataFrame, catalog: Catalog | None = None, name: str = "scores", base: str | None = None) -> DataFrame:
+    """Incremental re-score: each batch adds its rows to the aggregates of the runs it touches, and scores only these.
+
+    Returns the newest scores of every run. base: the folder of a stream that goes on; as a rule a new one.
+    """
+    catalog = catalog or default_catalog()
+    base = base or shared_dir(observations.sparkSession, name)
+    tables = score_tables(observations, base, catalog)
+    done: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/obs/batch={batch_id}")
-        everything = spark.read.schema(schema).parquet(*[f"{base}/obs/batch={i}" for i in range(-1, batch_id + 1)])
-        touched = spark.read.schema(schema).parquet(f"{base}/obs/batch={batch_id}").select("run_id").distinct()
-        fresh = score(everything.join(touched, "run_id", "left_semi"))
-        fresh.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{base}/scores/batch={batch_id}")
+        score_batch(batch, batch_id, tables, catalog)
+        done.append(batch_id)
 
     q = observations.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return latest(spark.read.parquet(f"{base}/scores/batch=*").drop("batch"), ["run_id", "scope"], "batch_id").drop("batch_id")
-
-
+    return tables[2].read(max(done, default=-1))

@@ -245,6 +245,19 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", R.same_product(F.lit("u"), F.when(size % 5 == 0, "u").otherwise("v"), sku, other, F.col("p_name"), title).alias("same"))
 
 
+view("v_product", """SELECT p_size % 10 AS run_id, p_partkey AS visit_id, CASE WHEN p_partkey % 3 = 0 THEN concat('https://shop.example/p/', CAST(p_partkey % 1000 AS VARCHAR(9))) END AS url,
+ CASE WHEN p_partkey % 4 <> 0 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN 'sku ' ELSE 'SKU ' END, CAST(p_partkey % 700 AS VARCHAR(9))) END AS sku,
+ concat(p_name, CASE p_partkey % 40 WHEN 0 THEN '' WHEN 1 THEN ' - Large' ELSE concat(' ', CAST(p_partkey % 90 AS VARCHAR(9))) END, CASE WHEN p_partkey % 80 = 5 THEN ' Red' ELSE '' END) AS title FROM part""")
+
+
+@query("join_10_product_clusters", """WITH RECURSIVE e AS (SELECT a.run_id, a.visit_id AS x, b.visit_id AS y FROM v_product a JOIN v_product b ON a.run_id = b.run_id AND a.visit_id <> b.visit_id AND (coalesce(a.url = b.url, false)
+  OR CASE WHEN a.sku IS NOT NULL AND b.sku IS NOT NULL THEN lower(a.sku) = lower(b.sku) ELSE lower(a.title) = lower(b.title) OR starts_with(lower(a.title), lower(b.title) || ' ') OR starts_with(lower(b.title), lower(a.title) || ' ') END)),
+ r AS (SELECT run_id, visit_id AS x, visit_id AS root FROM v_product UNION SELECT e.run_id, e.y, r.root FROM r JOIN e ON e.run_id = r.run_id AND e.x = r.x)
+ SELECT run_id, x AS visit_id, min(root) AS product FROM r GROUP BY ALL""")
+def _(spark, d):
+    return R.product_clusters(spark_view(spark, d, "v_product"), ["run_id"])
+
+
 view("v_line", """SELECT l_orderkey AS run_id, l_linenumber * 1000000 + l_partkey AS line_id, CASE WHEN l_suppkey % 9 = 0 THEN concat('protection ', p_name) ELSE p_name END AS title, l_suppkey % 9 = 0 AS addon,
  CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE floor(l_extendedprice) END AS price_value, CAST(1 + l_quantity % 3 AS INT) AS qty, p_name FROM lineitem JOIN part ON p_partkey = l_partkey""")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteready.operators import events as E
-from siteready.verify.base import duck_view, half_even, query, spark_view, view
+from siteready.verify.base import ORACLES, duck_view, half_even, query, spark_view, view
 from siteready.verify.scoring import CAT  # noqa: F401  (loads the shared views)
 
 view("v_net", """SELECT run_id, CAST(k % 3 AS BIGINT) AS page_id, ord AS idx, t_us / 1000.0 AS ts, k,
@@ -125,6 +125,15 @@ def _(spark, d):
     return E.layout_shift(spark_view(spark, d, "v_shift")).select("run_id", "cls", "cls_post_input")
 
 
+view("v_busy_shift", "SELECT CAST(run_id % 2 AS BIGINT) AS run_id, page_id, seq, start_ms * 2 AS start_ms, value, had_input FROM v_shift")
+
+
+@query("win_07_layout_shift_without_pause", ORACLES["win_07_layout_shift"].replace("v_shift", "v_busy_shift"))
+def _(spark, d):
+    """Two pages that shift without a pause: nearly every window is closed by its span."""
+    return E.layout_shift(spark_view(spark, d, "v_busy_shift")).select("run_id", "cls", "cls_post_input")
+
+
 view("v_pev", """SELECT run_id, CAST(0 AS BIGINT) AS page_id, ord AS seq, (t_us / 1000.0 - 1704067200000.0) / 10000.0 AS ts_ms, k, value,
  CASE event_type WHEN 'click' THEN 'mark' WHEN 'view' THEN 'mutation' WHEN 'purchase' THEN 'request' WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'shift' ELSE 'event_timing' END ELSE CASE WHEN k % 3 = 0 THEN 'navigation' ELSE 'error' END END AS kind,
  concat('k', CAST(k % 4 AS VARCHAR(2))) AS key, 20000.0 AS load_ms, k % 4 = 0 AS had_input, k % 6 = 0 AS excluded FROM v_ev""")

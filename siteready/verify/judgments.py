@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteready.dims import catalog as C
 from siteready.operators import judgments as J
-from siteready.verify.base import duck_view, half_even, query, spark_view, table, view
+from siteready.verify.base import ORACLES, duck_view, half_even, query, spark_view, table, view
 
 view("v_tasks", """SELECT o_orderkey % 100 AS run_id, o_orderkey AS task_id, o_orderkey AS task_ord, 'TRI.RETURNS_CLARITY' AS kpi_id,
  CASE WHEN o_orderkey % 2 = 0 THEN 'returns_clarity' ELSE 'value_prop' END AS rubric_id,
@@ -182,6 +182,13 @@ def _(spark, d):
     return J.page_tasks(t).select("run_id", F.col("task_id").cast("long").alias("task_id"), "page")
 
 
+@query("win_14_page_tasks_linked", ORACLES["win_14_page_tasks"])
+def _(spark, d):
+    """Every run of more than 8 tasks through the links of a long run."""
+    t = spark_view(spark, d, "v_tasks").withColumn("task_id", F.col("task_id").cast("string"))
+    return J.page_tasks(t, together=8).select("run_id", F.col("task_id").cast("long").alias("task_id"), "page")
+
+
 @query("agg_37_label_stability", f"SELECT task_id, CAST(sum(n) AS BIGINT) AS runs, {half_even('max(n)/sum(n)', 3)} AS agreement, max(n) = sum(n) AS stable FROM (SELECT task_id, label, count(*) n FROM v_verdicts GROUP BY ALL) GROUP BY task_id")
 def _(spark, d):
     return J.label_agreement(spark_view(spark, d, "v_verdicts"))

@@ -13,6 +13,7 @@ from siteready.operators.quantiles import weighted_median
 from siteready.session import shared_dir
 from siteready.sources import records as Rec
 from siteready.sources import sinks as Snk
+from siteready.sources.run_table import RunTable
 from siteready.verify.base import ORACLES, half_even, query, spark_view, table
 from siteready.verify.scoring import CAT, _kpis
 
@@ -121,6 +122,21 @@ def _(spark, d):
     return Snk.read_facts(spark, path).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("replaced"), F.count_distinct("run_id").alias("runs"))
 
 
+@query("snk_01_many_rewrites", """SELECT o_orderkey AS run_id, o_orderstatus AS status, w AS version FROM (SELECT *, (SELECT max(i) FROM range(0, 12) t(i) WHERE i = 0 OR (o_orderkey + i) % 7 = 0) AS w FROM orders)
+ WHERE NOT (w > 0 AND w % 3 = 0) UNION ALL SELECT o_orderkey, o_orderstatus, w FROM (SELECT *, (SELECT max(i) FROM range(0, 12) t(i) WHERE i = 0 OR (o_orderkey + i) % 7 = 0) AS w FROM orders) WHERE w > 0 AND w % 3 = 1""")
+def _(spark, d):
+    """Twelve writes over the runs of one table: every later one replaces a seventh of them, each third one with nothing,
+    the one after it with two rows. Shards reach their limit and are written as a whole on the way."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("version"))
+    facts = RunTable(spark, shared_dir(spark, "facts"), o.schema, shards=8, most=4)
+    facts.replace(o, 0)
+    for i in range(1, 12):
+        mine = o.where((F.col("run_id") + i) % 7 == 0)
+        rows = mine.withColumn("version", F.lit(i))
+        facts.replace(rows.limit(0) if i % 3 == 0 else rows.unionByName(rows) if i % 3 == 1 else rows, i, mine)
+    return facts.read(11)
+
+
 def _report_pages(spark, d):
     return spark_view(spark, d, "v_page").select("run_id", "page_id", "profile", "stage", "q", F.lit("u").alias("url"), F.lit(None).cast("string").alias("final_url"), F.col("price").alias("lcp_ms"), F.col("disc").alias("cls"),
                                                  (F.col("price") * 100).alias("bytes_transfer"), F.when(F.col("n") % 10 == 0, 0).otherwise(F.col("n")).alias("requests"))

@@ -5,14 +5,18 @@ An event-time operator emits only what its watermark has passed, so the SQL stop
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from siteready.functions import friction as P
 from siteready.functions.numbers import round_half_even
+from siteready.operators import friction as R
 from siteready.operators import scoring as S
 from siteready.session import shared_dir
+from siteready.streaming import stateful as Sf
 from siteready.streaming import streams as St
-from siteready.verify.base import ORACLES, half_even, query, spark_view, table
+from siteready.verify.base import DUCK_VIEWS, ORACLES, VIEWS, duck_view, half_even, query, spark_view, table, view
 from siteready.verify.scoring import CAT
 
 
@@ -31,6 +35,83 @@ def _replay(spark, df, files=1, key=None):
     return St.read_stream(spark, path, df.schema)
 
 
+def _replay_slices(spark, df, piece, key="run_id", slices=4, files=2):
+    """A table written as several time slices, each as files by key, and read one slice a micro-batch: keys come back in
+    every batch, and rows cross the cuts out of order."""
+    path = shared_dir(spark, "replay")
+    for i in range(slices):
+        df.where(piece == i).repartition(files, key).write.mode("append").parquet(path)
+    return St.read_stream(spark, path, df.schema, files_per_trigger=files)
+
+
+# Cuts of the 30 days; up to two hours of disorder at each cut.
+def _slice(t_us, k):
+    return F.least(F.lit(3), F.greatest(F.lit(0), F.floor((t_us - F.lit(1704067200 * 10**6) + (k % 3).cast("long") * (3600 * 10**6)) / F.lit(7.5 * 86400 * 10**6)))).cast("int")
+
+
+# One second of a page is a day of the table: the limits are stretched alike.
+_H = 3_600_000
+_LIMITS = {"quiet": 6 * _H, "net_quiet": 4 * _H, "min_wait": 2 * _H, "dead_window": 12 * _H, "inflight_max": 36 * _H, "timeout": 60 * _H, "forget": 10_000 * _H}
+view("v_page_rows", """SELECT run_id, ord AS seq, t_us, k, CASE event_type WHEN 'click' THEN 'action' WHEN 'view' THEN 'activity' WHEN 'error' THEN 'request' WHEN 'purchase' THEN 'finish'
+ ELSE CASE WHEN k % 2 = 0 THEN 'load_start' ELSE 'load_stop' END END AS kind, k % 4 AS rid,
+ CASE event_type WHEN 'click' THEN k % 3 <> 0 WHEN 'error' THEN k % 11 = 0 ELSE FALSE END AS flag FROM v_ev""")
+
+
+@query("str_04_settled_pages", """WITH p AS (SELECT *, t_us // 1000 AS ms, row_number() OVER r AS pos, count(*) FILTER (WHERE kind = 'action') OVER r AS act, max(CASE WHEN kind = 'activity' THEN t_us // 1000 END) OVER r AS active,
+  lead(t_us // 1000) OVER r AS nxt FROM v_page_rows WINDOW r AS (PARTITION BY run_id ORDER BY t_us // 1000, seq)),
+c AS (SELECT *, kind = 'request' AND NOT flag AND row_number() OVER (PARTITION BY run_id, act, kind, rid ORDER BY pos) <= 2 AS counted FROM p),
+s AS (SELECT run_id, act, rid, pos, ms, (SELECT min(f.pos) FROM c f WHERE f.run_id = c.run_id AND f.act = c.act AND f.kind = 'finish' AND f.rid = c.rid AND f.pos > c.pos) AS fin FROM c WHERE counted AND act > 0 AND NOT EXISTS (
+  SELECT 1 FROM c b WHERE b.run_id = c.run_id AND b.act = c.act AND b.rid = c.rid AND b.counted AND b.pos < c.pos AND c.ms - b.ms < INFLIGHT
+   AND NOT EXISTS (SELECT 1 FROM c g WHERE g.run_id = c.run_id AND g.act = c.act AND g.rid = c.rid AND g.kind = 'finish' AND g.pos BETWEEN b.pos AND c.pos))),
+net AS (SELECT run_id, act, pos, ms FROM c WHERE counted UNION ALL SELECT s.run_id, s.act, f.pos, f.ms FROM s JOIN c f ON f.run_id = s.run_id AND f.pos = s.fin WHERE f.ms - s.ms < INFLIGHT),
+t AS (SELECT c.*, first_value(ms) OVER a AS start, first_value(seq) OVER a AS action, first_value(flag) OVER a AS answer, bool_or(kind IN ('activity', 'load_start')) OVER a AS responded, count(*) FILTER (WHERE kind = 'request') OVER a AS requests,
+  arg_max(CASE WHEN kind = 'load_start' THEN ms ELSE -1 END, CASE WHEN kind IN ('load_start', 'load_stop') THEN pos END) OVER a AS load,
+  (SELECT max(n.ms) FROM net n WHERE n.run_id = c.run_id AND n.act = c.act AND n.pos <= c.pos) AS last_net,
+  (SELECT max(s.ms) FROM s WHERE s.run_id = c.run_id AND s.act = c.act AND s.pos <= c.pos AND (s.fin IS NULL OR s.fin > c.pos)) AS held
+  FROM c WHERE act > 0 WINDOW a AS (PARTITION BY run_id, act ORDER BY pos)),
+u AS (SELECT *, greatest(ms, start + CASE WHEN responded OR NOT answer THEN MIN_WAIT ELSE DEAD END, coalesce(last_net, start) + NET, active + QUIET, CASE WHEN load >= 0 THEN load + INFLIGHT END, held + INFLIGHT) AS quiet_at FROM t),
+x AS (SELECT run_id, act, arg_min({'ms': least(quiet_at, start + LIMIT), 'reason': CASE WHEN quiet_at <= start + LIMIT THEN 'quiet' ELSE 'timeout' END, 'responded': responded, 'requests': requests, 'pos': pos}, pos)
+   FILTER (WHERE nxt IS NULL OR least(quiet_at, start + LIMIT) <= nxt) AS closing,
+  arg_max({'ms': nxt, 'reason': 'next_action', 'responded': responded, 'requests': requests, 'pos': pos}, pos) AS cut, min(start) AS start, min(action) AS action, max(pos) AS final FROM u GROUP BY run_id, act),
+y AS (SELECT *, coalesce(closing, cut) AS z FROM x)
+SELECT y.run_id, y.action, y.start AS started_ms, y.z.reason AS reason, y.z.ms AS settled_ms, y.z.responded AS responded, y.z.requests AS requests,
+ CASE WHEN y.act = 1 THEN (SELECT count(*) FROM c WHERE c.run_id = y.run_id AND c.act = 0) ELSE w.final - w.z.pos END AS earlier_activity
+FROM y LEFT JOIN y w ON w.run_id = y.run_id AND w.act = y.act - 1 WHERE y.z.ms <= (SELECT max(ms) FROM c) - 10800000
+""".replace("INFLIGHT", str(_LIMITS["inflight_max"])).replace("MIN_WAIT", str(_LIMITS["min_wait"])).replace("DEAD", str(_LIMITS["dead_window"])).replace("NET", str(_LIMITS["net_quiet"]))
+       .replace("QUIET", str(_LIMITS["quiet"])).replace("LIMIT", str(_LIMITS["timeout"])))
+def _(spark, d):
+    rows = spark_view(spark, d, "v_page_rows").withColumn("ts", F.timestamp_micros("t_us"))
+    stream = _replay_slices(spark, rows.select("run_id", "ts", "t_us", "k", "seq", "kind", F.col("rid").alias("request_id"), F.col("rid").alias("path"), "flag"), _slice(F.col("t_us"), F.col("k")))
+    return St.drain(Sf.stream_settles(stream, "3 hours", **_LIMITS), "settled", timers=True).drop("batch_id")
+
+
+# Journeys that end: the steps with DONE and BLOCKED rows, cut at the end of the run's first journey.
+_IDLE = 60 * _H
+view("v_jsteps", VIEWS["v_steps"].replace("CASE event_type WHEN", "CASE CASE WHEN k % 40 = 39 AND run_id % 3 = 0 THEN 'DONE' WHEN k % 40 = 39 AND run_id % 3 = 1 THEN 'BLOCKED' ELSE event_type END "
+                                          "WHEN 'DONE' THEN 'DONE' WHEN 'BLOCKED' THEN 'BLOCKED' WHEN"))
+view("v_budget", "SELECT DISTINCT user_id AS run_id, CASE WHEN user_id % 4 = 0 THEN CAST(12 + user_id % 30 AS INT) END AS max_steps FROM events")
+duck_view("v_closing", f"""SELECT run_id, min(pos) AS pos, arg_min(reason, pos) AS reason, arg_min(end_ms, pos) AS closed_ms FROM (
+ SELECT *, CASE WHEN operation = 'DONE' THEN 'done' WHEN operation = 'BLOCKED' THEN 'blocked' WHEN n >= max_steps THEN 'budget' WHEN nxt IS NULL OR nxt - ms >= {_IDLE} THEN 'idle' END AS reason,
+  CASE WHEN operation IN ('DONE', 'BLOCKED') OR n >= max_steps THEN ms ELSE ms + {_IDLE} END AS end_ms FROM (
+  SELECT s.run_id, s.operation, b.max_steps, t_us // 1000 AS ms, row_number() OVER r AS pos, lead(t_us // 1000) OVER r AS nxt,
+   count(*) FILTER (WHERE source IS NULL AND operation NOT IN ('NAVIGATION', 'DONE', 'BLOCKED') AND NOT stale AND NOT guard_blocked) OVER r AS n
+  FROM v_jsteps s JOIN v_budget b USING (run_id) WINDOW r AS (PARTITION BY s.run_id ORDER BY t_us // 1000, ord))) WHERE reason IS NOT NULL GROUP BY run_id
+ HAVING arg_min(end_ms, pos) <= (SELECT max(t_us // 1000) FROM v_ev) - 10800000""")
+duck_view("v_c_steps", """SELECT s.* EXCLUDE (pos) FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t_us // 1000, ord) AS pos FROM v_jsteps) s JOIN v_closing c ON c.run_id = s.run_id AND s.pos <= c.pos""")
+duck_view("v_c_journeys", "SELECT j.run_id, profile, CASE WHEN reason <> 'idle' THEN success END AS success, CASE WHEN reason <> 'idle' THEN unverified END AS unverified, optimal_steps, optimal_pages FROM v_journeys j JOIN v_closing USING (run_id)")
+for _name in ("v_flags", "v_flags2", "v_visits", "v_rage", "v_sum", "v_fric"):
+    duck_view(_name.replace("v_", "v_c_"), re.sub(r"\bv_(steps|journeys|flags2?|visits|rage|sum|fric)\b", r"v_c_\1", DUCK_VIEWS[_name]).replace("operation <> 'NAVIGATION' AND NOT stale", "operation NOT IN ('NAVIGATION', 'DONE', 'BLOCKED') AND NOT stale"))
+
+
+@query("str_09_closed_journeys", "SELECT c.reason AS close_reason, c.closed_ms, c.pos AS steps, f.* FROM v_c_fric f JOIN v_closing c USING (run_id)")
+def _(spark, d):
+    """Closed journeys' friction KPIs from the stream's state, over four batches; they equal the batch KPIs of the same steps."""
+    steps = spark_view(spark, d, "v_jsteps").join(spark_view(spark, d, "v_budget"), "run_id").withColumn("ts", F.timestamp_micros("t_us"))
+    closed = St.drain(Sf.stream_journeys(_replay_slices(spark, steps, _slice(F.col("t_us"), F.col("k"))), "3 hours", _IDLE, 10_000 * _H), "closed", timers=True).drop("batch_id")
+    told = F.col("close_reason") != "idle"
+    summary = closed.withColumnRenamed("reason", "close_reason").join(spark_view(spark, d, "v_journeys"), "run_id").withColumns({"success": F.when(told, F.col("success")), "unverified": F.when(told, F.col("unverified"))})
+    kpis = R.observations(summary).select("run_id", "profile", "kpi_id", "value_num", "value_bool", "reason")
+    return kpis.join(closed.select("run_id", F.col("reason").alias("close_reason"), "closed_ms", "steps"), "run_id")
 
 
 def _flagged(e):
@@ -110,20 +191,23 @@ def _(spark, d):
 @query("str_10_late_rows", """SELECT event_id, k % 2 = 1 AND epoch(ts) < (SELECT max(epoch(ts)) - 86400 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) WHERE k % 2 = 0) AS late FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)""")
 def _(spark, d):
     e = _ts(table(spark, d, "events")).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int")).select("event_id", "ts", "k")
-    path = shared_dir(spark, "late")
-    e.where("k % 2 = 0").coalesce(1).write.mode("append").parquet(path)  # the first file
-    e.where("k % 2 = 1").coalesce(1).write.mode("append").parquet(path)  # the second, newer one
-    ok, late = St.split_late(St.read_stream(spark, path, e.schema, files_per_trigger=1), "ts", 86400)
+    ok, late = St.split_late(_replay_slices(spark, e, F.col("k") % 2, "event_id", 2), "ts", 86400)
     return ok.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
 
 
-@query("str_11_incremental_scores", ORACLES["score_headline"])
+@query("str_10_late_rows_many_batches", """WITH e AS (SELECT event_id, ts, least(9, greatest(0, CAST(floor((epoch_us(ts) - 1704067200000000 + (k % 7) * 36000000000) / 259200000000) AS INT))) AS b FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)),
+ m AS (SELECT b, max(ts) AS newest FROM e GROUP BY b)
+ SELECT event_id, b AS batch_id, coalesce(ts < (SELECT max(newest) FROM m WHERE m.b < e.b) - INTERVAL 6 HOURS, false) AS late FROM e""")
 def _(spark, d):
-    """Half of every run's rows arrive in a second batch; the newest scores equal one batch run over all."""
-    o = spark_view(spark, d, "v_obs")
-    path = shared_dir(spark, "obs")
-    o.where("ord % 2 = 0").coalesce(1).write.mode("append").parquet(path)
-    o.where("ord % 2 = 1").coalesce(1).write.mode("append").parquet(path)
-    return St.stream_scores(St.read_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=1), lambda x: S.score_runs(x, CAT))
+    """Ten batches of three days each; a seventh of the rows is 10, 20, ... 60 hours behind its place."""
+    e = _ts(table(spark, d, "events")).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    b = F.least(F.lit(9), F.greatest(F.lit(0), F.floor((F.unix_micros("ts") - F.lit(1704067200 * 10**6) + (F.col("k") % 7) * 36_000_000_000) / 259_200_000_000)))
+    ok, late = St.split_late(_replay_slices(spark, e.select("event_id", "ts", b.alias("b")), F.col("b"), "event_id", 10), "ts", 6 * 3600)
+    return ok.select("event_id", "batch_id", F.lit(False).alias("late")).unionByName(late.select("event_id", "batch_id", F.lit(True).alias("late")))
 
 
+@query("str_11_incremental_scores", ORACLES["score_headline"])
+def _(spark, d):
+    """Every run's rows arrive in four batches; the newest scores equal one batch run over all."""
+    o = spark_view(spark, d, "v_obs")
+    return St.stream_scores(_replay_slices(spark, o, F.pmod(F.hash("ord"), F.lit(4))), CAT)

@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from siteready.operators import events as E
+from siteready.operators import judgments as J
+from siteready.operators import risk
+from siteready.operators.components import components
 from siteready.operators.scan import with_last, with_previous, with_running
 
 
@@ -51,3 +54,79 @@ def test_layout_shift_windows(spark):
         expected[run] = round(best, 4)
     df = spark.createDataFrame(rows, "run_id int, page_id int, seq long, start_ms double, value double, had_input boolean")
     assert {r.run_id: r.cls for r in E.layout_shift(df).collect()} == expected
+
+
+def test_layout_shift_of_a_page_without_pause(spark):
+    rnd = random.Random(8)
+    rows, at, first, last, win, best = [], 0.0, -1.0, -1.0, 0.0, 0.0
+    for i in range(3000):
+        at += rnd.choice([1, 30, 200, 900])
+        v = rnd.choice([1, 2, 3]) / 64
+        rows.append((1, 0, i, at, v, False))
+        win, first = (win + v, first) if first >= 0 and at - last < 1000 and at - first < 5000 else (v, at)
+        last, best = at, max(best, win)
+    df = spark.createDataFrame(rows, "run_id int, page_id int, seq long, start_ms double, value double, had_input boolean")
+    assert [r.cls for r in E.layout_shift(df).collect()] == [round(best, 4)]
+
+
+def test_task_pages_of_short_and_long_runs_agree(spark):
+    rnd, rows, want = random.Random(3), [], {}
+    for run, n in ((1, 700), (2, 3), (3, 60), (4, 0)):
+        page, count, used = 0, 0, 0
+        for i in range(n):
+            chars = rnd.choice([10, 900, 4000, 20000, 50000])
+            rows.append((run, f"t{i}", i * 7, chars))
+            if count and (used + chars > 36000 or count >= 15):
+                page, count, used = page + 1, 0, 0
+            count, used = count + 1, used + chars
+            want[run, f"t{i}"] = page
+    df = spark.createDataFrame(rows, "run_id long, task_id string, task_ord long, chars long")
+    for together in (10_000, 5):
+        assert {(r.run_id, r.task_id): r.page for r in J.page_tasks(df, together=together).collect()} == want
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    rnd = random.Random(1)
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, j) for j in range(200, 240)] + [(300, 300), (None, 5), (8, None), (401, 400), (400, 401)]
+    links += [(rnd.randint(1000, 1100), rnd.randint(1000, 1100)) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_product_clusters_match_pairs(spark):
+    rnd, rows = random.Random(11), []
+    for i in range(160):
+        title = rnd.choice(["Shoe", "shoe red", "Shoe Red 42", "Hat", "Hat blue", "Hatter", "", None, "Bag", "Bag - Large"])
+        rows.append((i % 3, i, rnd.choice([None, "", f"u{rnd.randint(0, 40)}"]), rnd.choice([None, "", f"S{rnd.randint(0, 30)}", f"s{rnd.randint(0, 30)}"]), title and f"{title} {rnd.randint(0, 9)}" if rnd.random() < 0.7 else title))
+
+    def same(a, b):
+        if a[2] and a[2] == b[2]:
+            return True
+        if a[3] and b[3]:
+            return a[3].lower() == b[3].lower()
+        x, y = (a[4] or "").lower(), (b[4] or "").lower()
+        return bool(x and y) and (x == y or x.startswith(y + " ") or y.startswith(x + " "))
+
+    want = {r[1]: r[1] for r in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a in rows:
+            for b in rows:
+                if a[0] == b[0] and same(a, b) and want[a[1]] != want[b[1]]:
+                    want[a[1]] = want[b[1]] = min(want[a[1]], want[b[1]])
+                    changed = True
+    df = spark.createDataFrame(rows, "run_id long, visit_id long, url string, sku string, title string")
+    assert {r.visit_id: r["product"] for r in risk.product_clusters(df, ["run_id"]).collect()} == want

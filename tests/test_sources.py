@@ -33,3 +33,18 @@ def test_two_added_titles_count_a_line_once(spark):
     added = spark.createDataFrame([(1, "Red Shoe Classic"), (1, "Blue Hat Winter")], "run_id long, title string")
     row = risk.sneak_into_basket(lines, added).first()
     assert (row.confidence, row.unrequested) == (0.0, 0)
+
+
+def test_one_log_is_read_by_many_tasks_with_exact_line_numbers(spark, tmp_path):
+    lines = [f'{{"run_id": "r", "step": {i}, "operation": "CLICK"}}' if i % 5 else ("" if i % 2 else '{"torn": ') for i in range(4000)]
+    (tmp_path / "long.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "short.jsonl").write_text("\n".join(lines[:7]))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        steps = records.read_steps(spark, str(tmp_path))
+        assert steps.rdd.getNumPartitions() > 8
+        got = sorted((r._file.split("/")[-1], r.line_no, r.step) for r in steps.select("_file", "line_no", "step").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == sorted((name, i, i) for name, n in (("long.jsonl", 4000), ("short.jsonl", 7)) for i in range(n) if i % 5)
