@@ -15,6 +15,7 @@ from siteready.dims import constants as K
 from siteready.dims.catalog import Catalog, default_catalog
 from siteready.functions import numbers as N
 from siteready.operators.quantiles import value_bucket
+from siteready.operators.scan import stored
 
 OVERALL = "overall"
 VALUE = ["value_type", "value_num", "value_bool", "value_str"]
@@ -222,6 +223,7 @@ def _grouped(cells: DataFrame, values: DataFrame, extra: DataFrame | None) -> Da
         zero_pick(low).alias("low_z"), zero_pick(high).alias("high_z"))
     grouped = (grouped.withColumn("low_x", F.coalesce("low_x", "low_z"))
                .withColumn("high_x", F.coalesce("high_x", "high_z")).drop("low_z", "high_z"))
+    grouped = stored(grouped, "grouped")  # read for the open ranks and again with what they find
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_u.bucket").alias("bucket"),
                                F.col(f"{s}_u.r").cast("long").alias("r")) for s in ("low", "high")])
     open_ranks = (grouped.where("low_u is not null or high_u is not null")
@@ -582,17 +584,18 @@ def journey_context(checked: DataFrame) -> DataFrame:
 
 
 def score_runs(obs: DataFrame, catalog: Catalog | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """Observations to headline in one lineage: the KPI rows are aggregated once for indices and risk together."""
+    """Observations to headline: raw rows are aggregated once to cells, cells once to KPI values, and both are written
+    to the shared folder; all after that reads a few rows for each run and KPI."""
     catalog = catalog or default_catalog()
-    scores = kpi_scores(aggregate_kpis(obs, catalog, extra), catalog)
-    return headline(sub_indices(scores, catalog, with_risk=True), None, catalog)
+    rows = prepare_rows(obs, catalog)
+    return score_partials(stored(_base(rows), "cells"), _ranked(rows, catalog), catalog, extra)
 
 
 def score_partials(cells: DataFrame, values: DataFrame, catalog: Catalog | None = None, extra: DataFrame | None = None) -> DataFrame:
     """``score_runs`` from the cells and values of ``partials``."""
     catalog = catalog or default_catalog()
-    scores = kpi_scores(aggregate_partials(cells, values, catalog, extra), catalog)
-    return headline(sub_indices(scores, catalog, with_risk=True), None, catalog)
+    aggregated = stored(aggregate_partials(cells, values, catalog, extra), "kpis")
+    return headline(sub_indices(kpi_scores(aggregated, catalog), catalog, with_risk=True), None, catalog)
 
 
 def headline(sub: DataFrame, risk: DataFrame | None, catalog: Catalog | None = None) -> DataFrame:
