@@ -32,7 +32,8 @@ BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 _SCALE = float(1 << 20)
-#: Code points that are counted at once; longer texts continue with an overlap of the longest n-gram.
+#: Code points that are counted at once; a longer text goes on with the last ones of the piece before it, so that its
+#: n-grams are those of the whole text.
 PIECE = 1 << 18
 
 
@@ -56,8 +57,24 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], np.concatenate(([0], np.cumsum(keep)))[bounds]
 
 
-def _grams(codes: np.ndarray, bounds: np.ndarray, orders: Sequence[int] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order the buckets of all n-grams, and for each the text it belongs to."""
+def _long_codes(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The codes of one long text in pieces; each begins with the last codes before it, whose number comes with it."""
+    whole, carry, after_letter = " " + text.lower() + " ", np.zeros(0, np.uint32), True
+    for start in range(0, len(whole), PIECE):
+        codes = np.frombuffer(whole[start:start + PIECE].encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        piece = np.concatenate((carry, np.where(letter, codes, np.uint32(32))[keep]))
+        yield piece, len(carry)
+        carry = piece[len(piece) - min(len(piece), max(ORDERS) - 1):]
+
+
+def _grams(codes: np.ndarray, bounds: np.ndarray, carried: int = 0, orders: Sequence[int] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the buckets of all n-grams, and for each the text it belongs to. The first ``carried`` codes were
+    counted before: n-grams that end in them are left out."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     wide = codes.astype(np.uint64) + np.uint64(1)
     value = np.zeros(len(wide), np.uint64)
@@ -69,25 +86,29 @@ def _grams(codes: np.ndarray, bounds: np.ndarray, orders: Sequence[int] = ORDERS
         if n not in orders:
             continue
         inside = owner[:m] == owner[n - 1:]
+        inside[:max(0, carried - n + 1)] = False
         if n == 1:
             inside &= codes != 32
         yield (mix(value[inside] + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64), owner[:m][inside]
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[list[str], list[int]]]:
-    """Texts, or pieces of long ones, with their row numbers; about PIECE characters at a time."""
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], int]]:
+    """Codes, text bounds, row numbers and carried codes: many texts, or a piece of a long one; about PIECE characters."""
     held, rows, size = [], [], 0
     for row, text in enumerate(texts.to_pylist()):
-        for start in range(0, max(len(text or ""), 1), PIECE):
-            piece = (text or "")[start:start + PIECE]
-            held.append(piece)
-            rows.append(row)
-            size += len(piece)
-            if size >= PIECE:
-                yield held, rows
-                held, rows, size = [], [], 0
+        text = text or ""
+        if len(text) > PIECE:
+            for codes, carried in _long_codes(text):
+                yield codes, np.array([0, len(codes)]), [row], carried
+            continue
+        held.append(text)
+        rows.append(row)
+        size += len(text)
+        if size >= PIECE:
+            yield *_codes(held), rows, 0
+            held, rows, size = [], [], 0
     if held:
-        yield held, rows
+        yield *_codes(held), rows, 0
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -105,9 +126,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 for lang in langs:
                     table.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[BUCKETS] += 1
                 code = np.array([names.index(x) for x in langs], np.int64)
-                for texts, rows in _pieces(part.column(1)):
+                for codes, bounds, rows, carried in _pieces(part.column(1)):
                     of = code[rows]
-                    for buckets, owner in _grams(*_codes(texts)):
+                    for buckets, owner in _grams(codes, bounds, carried):
                         seen = np.bincount(of[owner] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
                         for i, name in enumerate(names):
                             table[name][:BUCKETS] += seen[i]
@@ -141,9 +162,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: Sequence
         def score(column: pa.Array) -> list:
             total = np.zeros((len(column), len(names)), np.int64)
             lettered = np.zeros(len(column), bool)
-            for texts, rows in _pieces(column):
+            for codes, bounds, rows, carried in _pieces(column):
                 at = np.array(rows)
-                for buckets, owner in _grams(*_codes(texts)):
+                for buckets, owner in _grams(codes, bounds, carried):
                     first = np.flatnonzero(np.diff(owner, prepend=-1))
                     if len(first):
                         np.add.at(total, at[owner[first]], np.add.reduceat(weights[buckets], first, axis=0))

@@ -6,8 +6,9 @@ group about ``CANDIDATES`` or ``QUERIES`` rows; every pair of groups meets once.
 scores, term after term. Partition selection keeps each query's k best of the group, and a ranking window merges the
 groups' rows (Spark keeps k for each query before the shuffle).
 
-Weights are whole numbers, floor(scale * x), and so are the scores: sums are exact in any order. Weights are held
-within +-2^31 (|x| up to 2^21 at scale 1024), where 2^63 bounds the score of any vector; larger ones are clipped to it.
+Weights are whole numbers, floor(scale * x), and so are the scores: sums are exact in any order. Where a block's weights
+could carry a sum past 64 bits it is accumulated in unbounded integers; a score beyond 64 bits is an error, as it has no
+value in the result.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part, neither do null ids; of
 rows with the same id the least vector stands; vectors of different lengths are compared as if padded with zeros; ties
@@ -26,7 +27,6 @@ CANDIDATES = 16_384
 QUERIES = 8_192
 #: Scores that are held at once: rows of queries times candidates.
 _CELLS = 1 << 19
-_LIMIT = 2 ** 31
 
 
 def usable(vector: Column) -> Column:
@@ -58,7 +58,7 @@ def _widest(*columns: pa.ChunkedArray) -> int:
 
 def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
     """Scores of query rows (terms x weights) against all rows of the postings."""
-    scores = np.zeros((len(queries), size), np.int64)
+    scores = np.zeros((len(queries), size), queries.dtype)
     for term, (rows, weights) in enumerate(postings):
         used = np.flatnonzero(queries[:, term])
         if not len(used) or not len(rows):
@@ -71,6 +71,24 @@ def accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]
     return scores
 
 
+def whole_weights(candidates: np.ndarray, queries: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides as whole numbers: longs where no sum of products can pass 2^62, else Python integers."""
+    a, b = np.floor(candidates * scale), np.floor(queries * scale)
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+    if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0), most) < 2.0 ** 62:
+        return a.astype(np.int64), b.astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return tuple(whole(x) if x.size else x.astype(object) for x in (a, b))
+
+
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        if any(not -(2 ** 63) <= x < 2 ** 63 for x in scores.flat):
+            raise OverflowError("an inner product exceeds 64 bits")
+        return scores.astype(np.int64)
+    return scores
+
+
 def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores, ties to smaller ids, in no order; ids ascend."""
     if len(scores) <= k:
@@ -83,25 +101,22 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def top_k(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of every query (ids divisible by ``every``)."""
     rows = unique_vectors(table, key, vector)
-    count = rows.count()
-    parts, groups = -(-count // CANDIDATES) or 1, -(-count // every // QUERIES) or 1
+    size = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("key") % every == 0).alias("asked")).first()
+    parts, groups = -(-size["rows"] // CANDIDATES) or 1, -(-size["asked"] // QUERIES) or 1
     each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     left = rows.select("*", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).withColumn("group", each)
     right = rows.where(F.col("key") % every == 0).select("*", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(groups)).cast("int").alias("group")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    def weigh(x: np.ndarray) -> np.ndarray:
-        return np.clip(np.floor(x * scale), -_LIMIT, _LIMIT).astype(np.int64)
-
     def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         width = _widest(candidates["vec"], queries["vec"])
         candidates = candidates.sort_by("key")
-        ids, weights = candidates["key"].to_numpy(), weigh(dense(candidates["vec"], width))
-        asked, wanted = queries["key"].to_numpy(), weigh(dense(queries["vec"], width))
+        ids, asked = candidates["key"].to_numpy(), queries["key"].to_numpy()
+        weights, wanted = whole_weights(dense(candidates["vec"], width), dense(queries["vec"], width), scale)
         postings = [(at := np.flatnonzero(weights[:, t]), weights[at, t]) for t in range(width)]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = max(1, _CELLS // max(1, len(ids)))
         for start in range(0, len(asked), step):
-            for query, line in zip(asked[start:start + step], accumulate(wanted[start:start + step], postings, len(ids))):
+            for query, line in zip(asked[start:start + step], as_longs(accumulate(wanted[start:start + step], postings, len(ids)))):
                 at = select(line, ids, k + 1)
                 at = at[ids[at] != query]
                 at = at[np.lexsort((ids[at], -line[at]))[:k]]

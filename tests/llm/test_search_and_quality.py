@@ -6,10 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siteready.llm import hard_negatives, lexical_search, quality, queries
+from siteready.llm import hard_negatives, language_id, lexical_search, quality, queries, topk
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -257,3 +258,25 @@ def test_registered_queries_name_the_contract_columns(spark):
               "op13_quality": ["doc_id", "held_out", "score", "predicted"]}
     for name, columns in wanted.items():
         assert queries.queries()[name](spark, sf).columns == columns
+
+
+def test_top_k_with_weights_beyond_the_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3e6, 0.0]), (2, [4e6, 0.0]), (100, [4.0e11, 1.0]), (3, [10.0, 1.0])]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect() if r.query_id == 0}
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = sorted(((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i != 0))[:3]
+    assert got == {(0, n): (i, -s) for n, (s, i) in enumerate(want, 1)}
+
+
+def test_a_long_text_has_the_n_grams_of_its_whole(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc dé  12.ΣΩ") for _ in range(5000)), "x" * 3000, " " * 6000, " a" * 2500, "12 " * 1500, "b"]
+
+    def grams(pieces):
+        return [sorted(x for codes, bounds, rows, carried in pieces if rows == [i] for b, _ in language_id._grams(codes, bounds, carried) for x in b.tolist()) for i in range(len(texts))]
+
+    want = [sorted(x for b, _ in language_id._grams(*language_id._codes([t])) for x in b.tolist()) for t in texts]
+    for piece in (7, 64, 1000):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        alone = [[(c, b, [i], n) for c, b, _, n in language_id._pieces(pa.array([t]))] for i, t in enumerate(texts)]
+        assert grams([p for found in alone for p in found]) == want
