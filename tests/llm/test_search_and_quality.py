@@ -261,7 +261,7 @@ def test_registered_queries_name_the_contract_columns(spark):
 
 
 def test_top_k_with_weights_beyond_the_doubles(spark):
-    rows = [(0, [1.0, 0.0]), (1, [3e6, 0.0]), (2, [4e6, 0.0]), (100, [4.0e11, 1.0]), (3, [10.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, [3e6, 0.0]), (2, [4e6, 0.0]), (101, [4.0e12, 1.0]), (102, [4.0e12, 9.0]), (3, [10.0, 1.0])]
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect() if r.query_id == 0}
     whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
     want = sorted(((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i != 0))[:3]
