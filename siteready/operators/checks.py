@@ -394,6 +394,60 @@ def account_rows(pages: DataFrame) -> DataFrame:
                     F.when(decided, F.lit("checkout_entry")).when(F.col("_cart"), F.lit("cart")).alias("decided_by"))
 
 
+def account_observations(pages: DataFrame, profiles: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Guest-checkout and forced-account rows of every (run, profile), each with its value or the reason it has none.
+
+    A readable checkout entry decides alone, and its unreadable neighbours keep their reasons. Without one, carts with a
+    guest control decide, and say in checkout_reason why the checkout did not. With neither, the unreadable checkout
+    pages or the checkout stage's reason stand, and the cart stage's reason too if no cart was reached.
+
+    pages: run_id, profile, stage, page_id, page_ord, readable, reason (of an unreadable page), guest_option,
+    login_required; repeats left out. profiles: run_id, profile. gaps: as in ``stage_reasons``.
+    """
+    key = ["run_id", "profile"]
+    co, cart = F.col("stage") == "checkout_entry", F.col("stage") == "cart"
+    readable, option = F.coalesce("readable", F.lit(False)), F.coalesce("guest_option", F.lit(False))
+    seen = pages.where(co | cart)
+    facts = seen.groupBy(*key).agg(
+        F.max(co & readable).alias("_decides"), F.max(cart & option).alias("_offers"), F.max(co).alias("_checkout"), F.max(cart).alias("_cart"),
+        F.min(F.when(co & ~readable, F.struct("page_ord", F.coalesce("reason", F.lit("not_assessable")).alias("why")))).alias("_failed"))
+    stages = profiles.select(*key).distinct()
+    wanted = stages.withColumn("stage", F.explode(F.array(F.lit("checkout_entry"), F.lit("cart"))))
+    why = stage_reasons(wanted, gaps).groupBy(*key).agg(F.max(F.when(co, F.col("reason"))).alias("_co_why"), F.max(F.when(cart, F.col("reason"))).alias("_cart_why"))
+    flags = ("_decides", "_offers", "_checkout", "_cart")
+    facts = stages.join(facts, key, "left").join(why, key, "left").na.fill(False, list(flags))
+    undecided = ~F.col("_decides") & ~F.col("_offers")
+    guest = option | ~F.coalesce("login_required", F.lit(False))
+    rows = seen.join(facts, key).withColumn("_kind", F.when(co & readable, "page").when(co & (F.col("_decides") | undecided), "failed").when(cart & option & ~F.col("_decides"), "cart"))
+    rows = rows.where("_kind is not null").select(
+        *key, "stage", "page_id", F.when(F.col("_kind") == "page", guest).when(F.col("_kind") == "cart", F.lit(True)).alias("_guest"),
+        F.when(F.col("_kind") == "failed", F.coalesce("reason", F.lit("not_assessable"))).alias("reason"),
+        F.when(F.col("_kind") == "cart", F.coalesce(F.col("_failed.why"), F.col("_co_why"))).alias("checkout_reason"))
+    none = F.lit(None).cast(pages.schema["page_id"].dataType)
+    missing = F.array_compact(F.array(F.when(~F.col("_checkout"), F.struct(F.lit("checkout_entry").alias("stage"), F.col("_co_why").alias("why"))),
+                                      F.when(~F.col("_cart"), F.struct(F.lit("cart").alias("stage"), F.col("_cart_why").alias("why")))))
+    gone = facts.where(undecided).select(*key, F.explode(missing).alias("_m")).select(
+        *key, "_m.stage", none.alias("page_id"), F.lit(None).cast("boolean").alias("_guest"), F.col("_m.why").alias("reason"), F.lit(None).cast("string").alias("checkout_reason"))
+    both = F.array(F.struct(F.lit("FAI.GUEST_CHECKOUT").alias("kpi_id"), F.col("_guest").alias("v")), F.struct(F.lit("FAI.FORCED_ACCOUNT").alias("kpi_id"), (~F.col("_guest")).alias("v")))
+    out = rows.unionByName(gone).withColumn("_k", F.explode(both))
+    return out.select(*key, "_k.kpi_id", "stage", "page_id", F.col("_k.v").alias("value_bool"), F.col("_k.v").isNotNull().alias("assessed"), "reason", "checkout_reason")
+
+
+def profile_set(*tables: DataFrame) -> DataFrame:
+    """(run, profile): every profile that any of the tables names."""
+    named = [t.select("run_id", "profile").where("profile is not null") for t in tables]
+    out = named[0]
+    for t in named[1:]:
+        out = out.unionByName(t)
+    return out.distinct()
+
+
+def missing_stages(pages: DataFrame) -> DataFrame:
+    """(run, missing): the stages of the funnel without a page, in funnel order."""
+    seen = pages.groupBy("run_id").agg(F.collect_set("stage").alias("_s"))
+    return seen.select("run_id", F.array_except(F.array(*[F.lit(s) for s in K.STAGES]), F.col("_s")).alias("missing"))
+
+
 def distinct_texts(items: DataFrame, keys: list[str]) -> DataFrame:
     """Statements counted once per number-masked text, first spelling (160 characters) kept."""
     i = items.withColumn("norm", T.mask_numbers(F.col("text"))).where("norm != ''")

@@ -369,3 +369,9 @@ def policy_violations(steps: DataFrame, lexicon: Lexicon) -> DataFrame:
                  F.when(F.col("kind").isin("fill", "select"), F.lit("checkout_form")).otherwise(F.lit("checkout_submit")))
            .when(fill, F.lit("personal_field")))
     return steps.withColumn("violation", why).where("violation is not null")
+
+
+def token_overlap(rows: DataFrame, left: str, right: str, least: int = 3) -> DataFrame:
+    """rows with shared: how many distinct words of at least ``least`` letters two text columns have in common."""
+    words = F.array_intersect(T.words(F.col(left), least), T.words(F.col(right), least))
+    return rows.withColumn("shared", F.size(words))

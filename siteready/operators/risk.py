@@ -179,6 +179,34 @@ def countdown_reset(pairs: DataFrame, elapsed: DataFrame) -> DataFrame:
     return g.select("run_id", "pairs", F.col("_w.decrease_s").alias("decrease_s"), round_half_even(tol, 1).alias("tolerance_s"), reset.alias("reset"), conf.alias("confidence"))
 
 
+def extreme(rows: DataFrame, keys: list[str], value: Column, witness: list[str], largest: bool = False) -> DataFrame:
+    """keys, value, witness columns: the smallest (or largest) value of each key and the first row that has it."""
+    pick = F.max(F.struct((-value if not largest else value).alias("v"), *[(-F.col(w)).alias(w) for w in witness]))
+    out = rows.groupBy(*keys).agg(pick.alias("_p"))
+    return out.select(*keys, (F.col("_p.v") if largest else -F.col("_p.v")).alias("value"), *[(-F.col("_p")[w]).alias(w) for w in witness])
+
+
+def countdown_outcome(visits: DataFrame, resets: DataFrame) -> DataFrame:
+    """Per run: whether the countdown test could be made, whether a timer was found, else why not; with the reset result.
+
+    Only ticking timers count. Two visits without any are no finding, unless a timer was there that was not verified
+    to tick, or the funnel page showed one; timers on one visit only, or none that pair up, leave the test open.
+    visits: run_id, first, second (the visit was made), failure (why not), first_timers, second_timers (ticking ones),
+    static, unverified, funnel_timers (numbers). resets: ``countdown_reset``.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    made = F.coalesce("first", F.lit(False)) & F.coalesce("second", F.lit(False))
+    neither, one = (n("first_timers") + n("second_timers")) == 0, (n("first_timers") == 0) != (n("second_timers") == 0)
+    reason = (F.when(~made, F.coalesce("failure", F.lit("product_page_not_visited_twice")))
+              .when(neither & (n("static") == 0) & (n("unverified") > 0), "ticking_not_verified")
+              .when(neither & (n("static") == 0) & (n("funnel_timers") > 0), "countdown_not_seen_on_revisit")
+              .when(one, "countdown_seen_once").when(~neither & F.col("pairs").isNull(), "countdown_not_paired"))
+    j = visits.join(resets, "run_id", "left").withColumn("reason", reason)
+    told = F.col("reason").isNull()
+    result = [F.when(told & ~neither, F.col(c)).alias(c) for c in ("decrease_s", "tolerance_s", "reset", "confidence")]
+    return j.select("run_id", told.alias("assessed"), F.when(told, ~neither).alias("found"), "reason", *result)
+
+
 def without_site_copy(stock: DataFrame, site_texts: DataFrame) -> DataFrame:
     """Stock statements that are not site copy: not also shown outside cards on the home or listing page."""
     copy = site_texts.select("run_id", T.fold(F.substring("text", 1, 160)).alias("_n")).distinct()

@@ -191,6 +191,24 @@ def _(spark, d):
     return C.account_rows(p).drop("decided_by")
 
 
+view("v_account", """SELECT run_id, profile, stage, page_id, page_ord, has_doc AND n % 7 <> 0 AS readable, CASE WHEN NOT (has_doc AND n % 7 <> 0) THEN concat('unread_', CAST(n % 4 AS VARCHAR(2))) END AS reason,
+ n % 5 = 0 AS guest_option, n % 3 = 0 AS login_required FROM v_page""")
+
+
+@query("agg_48_account_observations", """WITH f AS (SELECT run_id, profile, bool_or(stage = 'checkout_entry' AND readable) AS decides, bool_or(stage = 'cart' AND guest_option) AS offers, bool_or(stage = 'checkout_entry') AS co, bool_or(stage = 'cart') AS ca,
+  arg_min(reason, page_ord) FILTER (WHERE stage = 'checkout_entry' AND NOT readable) AS failed FROM v_account GROUP BY ALL),
+ w AS (SELECT run_id, profile, stage, coalesce((SELECT arg_min(reason, ord) FROM v_gaps g WHERE g.run_id = f.run_id AND g.stage = t.stage AND g.profile = f.profile), (SELECT arg_min(reason, ord) FROM v_gaps g WHERE g.run_id = f.run_id AND g.stage = t.stage AND g.profile IS NULL), 'not_reached') AS why
+  FROM f, (VALUES ('checkout_entry'), ('cart')) t(stage)),
+ r AS (SELECT a.run_id, a.profile, a.stage, page_id, CASE WHEN a.stage = 'cart' THEN true WHEN readable THEN guest_option OR NOT login_required END AS g, CASE WHEN a.stage = 'checkout_entry' AND NOT readable THEN reason END AS reason,
+   CASE WHEN a.stage = 'cart' THEN coalesce(failed, (SELECT why FROM w WHERE w.run_id = a.run_id AND w.profile = a.profile AND w.stage = 'checkout_entry')) END AS checkout_reason
+  FROM v_account a JOIN f USING (run_id, profile) WHERE (a.stage = 'checkout_entry' AND (readable OR decides OR NOT offers)) OR (a.stage = 'cart' AND guest_option AND NOT decides)
+  UNION ALL SELECT run_id, profile, w.stage, NULL, NULL, why, NULL FROM f JOIN w USING (run_id, profile) WHERE NOT decides AND NOT offers AND ((w.stage = 'checkout_entry' AND NOT co) OR (w.stage = 'cart' AND NOT ca)))
+ SELECT run_id, profile, kpi_id, stage, page_id, CASE WHEN kpi_id = 'FAI.GUEST_CHECKOUT' THEN g ELSE NOT g END AS value_bool, g IS NOT NULL AS assessed, reason, checkout_reason FROM r, (VALUES ('FAI.GUEST_CHECKOUT'), ('FAI.FORCED_ACCOUNT')) k(kpi_id)""")
+def _(spark, d):
+    a = spark_view(spark, d, "v_account")
+    return C.account_observations(a, a.select("run_id", "profile"), spark_view(spark, d, "v_gaps"))
+
+
 @query("agg_39_run_status", """SELECT r.run_id, CASE WHEN pages IS NULL THEN 'failed' WHEN lost = 0 AND gaps IS NULL AND r.run_id % 9 <> 0 THEN 'complete' ELSE 'partial' END AS status FROM (SELECT p_partkey AS run_id FROM part) r
  LEFT JOIN (SELECT run_id, count(*) pages FROM v_page GROUP BY 1) USING (run_id) LEFT JOIN (SELECT run_id, 4 - count(*) AS lost FROM (SELECT DISTINCT run_id, profile, stage FROM v_page WHERE stage IN ('pdp','cart')) GROUP BY 1) USING (run_id)
  LEFT JOIN (SELECT run_id, count(*) gaps FROM v_gaps WHERE stage = 'cart' GROUP BY 1) USING (run_id)""")
@@ -214,13 +232,12 @@ def _(spark, d):
 
 @query("set_03_profiles", "SELECT DISTINCT run_id, profile FROM v_obs WHERE profile IS NOT NULL UNION SELECT DISTINCT run_id, profile FROM v_page")
 def _(spark, d):
-    return spark_view(spark, d, "v_obs").select("run_id", "profile").where("profile is not null").unionByName(spark_view(spark, d, "v_page").select("run_id", "profile")).distinct()
+    return C.profile_set(spark_view(spark, d, "v_obs"), spark_view(spark, d, "v_page"))
 
 
 @query("set_04_missing_stages", "SELECT run_id, array_to_string(list_filter(['home','plp','pdp','cart','checkout_entry'], lambda s: NOT list_contains(st, s)), ',') AS missing FROM (SELECT run_id, list(DISTINCT stage) st FROM v_page GROUP BY 1)")
 def _(spark, d):
-    g = spark_view(spark, d, "v_page").groupBy("run_id").agg(F.collect_set("stage").alias("s"))
-    return g.select("run_id", F.array_join(F.array_except(F.array(*[F.lit(s) for s in K.STAGES]), "s"), ",").alias("missing"))
+    return C.missing_stages(spark_view(spark, d, "v_page")).withColumn("missing", F.array_join("missing", ","))
 
 
 # ---------------------------------------------------------------- risk tests
@@ -316,8 +333,23 @@ def _(spark, d):
 
 @query("top_07_worst_with_witness", "SELECT run_id, min(s1 - s2) AS decrease_s, arg_min(pos1, (s1 - s2, pos1)) AS pos1 FROM v_pairs GROUP BY run_id")
 def _(spark, d):
-    w = F.min(F.struct((F.col("s1") - F.col("s2")).alias("x"), "pos1"))
-    return _pairs(spark, d).groupBy("run_id").agg(w.alias("w")).select("run_id", F.col("w.x").alias("decrease_s"), F.col("w.pos1").alias("pos1"))
+    return R.extreme(_pairs(spark, d), ["run_id"], F.col("s1") - F.col("s2"), ["pos1"]).withColumnRenamed("value", "decrease_s")
+
+
+view("v_timer_visits", """SELECT user_id AS run_id, count(*) FILTER (WHERE event_type = 'view') > 5 + user_id % 9 AS first, count(*) FILTER (WHERE event_type = 'purchase') > 5 + user_id % 8 AS second,
+ CASE WHEN user_id % 3 = 0 THEN 'navigation_error' END AS failure, count(*) FILTER (WHERE event_type = 'click' AND value > 60) % 3 AS first_timers, count(*) FILTER (WHERE event_type = 'click' AND value < 40) % 3 AS second_timers,
+ count(*) FILTER (WHERE event_type = 'error') % 2 AS static, count(*) FILTER (WHERE event_type = 'signup') % 2 AS unverified, count(*) FILTER (WHERE event_type = 'view') % 2 AS funnel_timers FROM events GROUP BY user_id""")
+
+
+@query("agg_43_countdown_outcome", f"""SELECT run_id, reason IS NULL AS assessed, CASE WHEN reason IS NULL THEN t END AS found, reason, CASE WHEN reason IS NULL AND t THEN decrease_s END AS decrease_s, CASE WHEN reason IS NULL AND t THEN tolerance_s END AS tolerance_s,
+ CASE WHEN reason IS NULL AND t THEN reset END AS reset, CASE WHEN reason IS NULL AND t THEN confidence END AS confidence FROM (SELECT v.*, r.* EXCLUDE (run_id), first_timers + second_timers > 0 AS t,
+  CASE WHEN NOT (first AND second) THEN coalesce(failure, 'product_page_not_visited_twice') WHEN first_timers + second_timers = 0 AND static = 0 AND unverified > 0 THEN 'ticking_not_verified'
+   WHEN first_timers + second_timers = 0 AND static = 0 AND funnel_timers > 0 THEN 'countdown_not_seen_on_revisit' WHEN (first_timers = 0) <> (second_timers = 0) THEN 'countdown_seen_once'
+   WHEN first_timers > 0 AND pairs IS NULL THEN 'countdown_not_paired' END AS reason FROM v_timer_visits v LEFT JOIN (SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({ORACLES["agg_43_countdown_reset"]}) WHERE run_id % 3 <> 1) r USING (run_id))""")
+def _(spark, d):
+    p = _pairs(spark, d).where("run_id % 3 <> 1")
+    resets = R.countdown_reset(p, p.select("run_id").distinct().withColumn("elapsed", (F.col("run_id") % 50 + 20).cast("double")))
+    return R.countdown_outcome(spark_view(spark, d, "v_timer_visits"), resets)
 
 
 @query("join_15_site_copy", "SELECT l_orderkey AS run_id, l_linenumber, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (l_orderkey, lower(p_name)) NOT IN (SELECT l_orderkey, lower(p_name) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 30)")

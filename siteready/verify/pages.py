@@ -252,9 +252,9 @@ def _(spark, d):
 
 @query("set_05_token_overlap", r"""SELECT a.doc_id, len(list_intersect(list_distinct(list_transform(regexp_extract_all(a.text, '\p{L}{3,}'), lambda w: lower(w))), list_distinct(list_transform(regexp_extract_all(b.text, '\p{L}{3,}'), lambda w: lower(w))))) AS shared FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
 def _(spark, d):
-    a = table(spark, d, "documents").select("doc_id", T.words(F.col("text"), 3).alias("w"))
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    return a.join(b, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).alias("shared"))
+    a = table(spark, d, "documents").select("doc_id", "text")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return P.token_overlap(a.join(b, "doc_id"), "text", "other").select("doc_id", "shared")
 
 
 @query("prj_16_checkout_pages", f"SELECT page_id, page_id % 5 = 0 OR page_id % 7 = 0 OR page_id % 11 = 0 OR (regexp_matches(pth, '{rx('checkout_url')}') AND NOT regexp_matches(pth, '{rx('cart_url')}')) AS checkout FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS pth FROM pages)")

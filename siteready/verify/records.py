@@ -62,13 +62,16 @@ def _(spark, d):
     return drain(Rec.stream_steps(spark, path, 2).select("run_id", "step"), "steps").groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"))
 
 
-@query("src_05_dimensions", "SELECT 'registry' AS dim, count(*) AS n FROM d_reg UNION ALL SELECT 'segments', count(*) FROM d_seg WHERE x0 IS NOT NULL AND x1 IS NOT NULL UNION ALL SELECT 'map', count(*) FROM d_map")
+@query("src_05_dimensions", """SELECT 'registry' AS dim, owner AS part, count(*) AS n, count(DISTINCT kpi_id) AS kpis FROM v_obs JOIN d_reg USING (kpi_id) GROUP BY ALL
+ UNION ALL SELECT 'segments', owner, count(*), count(DISTINCT kpi_id) FROM v_obs JOIN d_reg USING (kpi_id) JOIN (SELECT * FROM d_seg WHERE x0 IS NOT NULL AND x1 IS NOT NULL) USING (kpi_id) GROUP BY ALL
+ UNION ALL SELECT 'map', owner, count(*), count(DISTINCT kpi_id) FROM v_obs JOIN d_reg USING (kpi_id) JOIN d_map USING (kpi_id) GROUP BY ALL""")
 def _(spark, d):
-    # the dimensions as the plans join them, counted over the observations' own KPI ids and the rest
-    dims = {"registry": CAT.registry(spark), "segments": CAT.segments(spark), "map": CAT.anchor_map(spark)}
+    """The loaded dimensions joined to the observations, by the index that owns the KPI."""
+    o = S.enrich(spark_view(spark, d, "v_obs").select("kpi_id"), CAT).select("kpi_id", "owner")
+    parts = {"registry": o, "segments": o.join(CAT.segments(spark).select("kpi_id"), "kpi_id"), "map": o.join(CAT.anchor_map(spark).select("kpi_id"), "kpi_id")}
     out = None
-    for name, df in dims.items():
-        one = df.agg(F.lit(name).alias("dim"), F.count(F.lit(1)).alias("n"))
+    for name, df in parts.items():
+        one = df.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("kpi_id").alias("kpis")).select(F.lit(name).alias("dim"), F.col("owner").alias("part"), "n", "kpis")
         out = one if out is None else out.unionByName(one)
     return out
 
