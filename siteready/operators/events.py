@@ -60,7 +60,7 @@ def document_events(net: DataFrame, main_frame: Column | None = None) -> DataFra
 
 
 def requests(net: DataFrame) -> DataFrame:
-    """One row per request and redirect hop: url, type, status, bytes, failed, mixed.
+    """One row per request and redirect hop: url, type, status, bytes, failed, mixed, and the idx it was last sent at.
 
     A finished request has its final byte count, an unfinished one what arrived so far. A real failure is not hidden
     by a later cancel.
@@ -79,14 +79,14 @@ def requests(net: DataFrame) -> DataFrame:
         F.max_by("encoded_bytes", F.when(F.col("method") == "finished", F.col("idx"))).alias("_done"),
         F.sum(F.when(F.col("method") == "data", F.col("encoded_bytes")).otherwise(0)).alias("_data"),
         F.max((F.col("method") == "failed") & ~F.coalesce("canceled", F.lit(False))).alias("failed"),
-        F.max("mixed_content").alias("mixed"), F.max("initiator").alias("initiator"))
+        F.max("mixed_content").alias("mixed"), F.max("initiator").alias("initiator"), F.max(F.when(F.col("method") == "request", F.col("idx"))).alias("idx"))
     final = final.where("_known")
     favicon = (F.col("initiator") == "other") & (U.path(F.col("url")) == "/favicon.ico")
     final = final.select(*key, "url", "type", "status", F.coalesce("_done", "_data").cast("long").alias("bytes"), "failed",
-                         "mixed", F.coalesce(favicon, F.lit(False)).alias("browser_probe"))
+                         "mixed", F.coalesce(favicon, F.lit(False)).alias("browser_probe"), "idx")
     hops = n.where((F.col("method") == "request") & F.col("redirect_status").isNotNull()).select(
         *key, "url", "type", F.col("redirect_status").alias("status"), F.coalesce("redirect_bytes", F.lit(0)).cast("long").alias("bytes"),
-        F.lit(False).alias("failed"), F.col("mixed_content").alias("mixed"), F.lit(False).alias("browser_probe"))
+        F.lit(False).alias("failed"), F.col("mixed_content").alias("mixed"), F.lit(False).alias("browser_probe"), "idx")
     return final.unionByName(hops)
 
 
@@ -129,6 +129,37 @@ def network_summary(reqs: DataFrame, documents: DataFrame, domains: int | None =
     return g.withColumn("third_party_share", share)
 
 
+def http_errors(reqs: DataFrame, n: int = 10) -> DataFrame:
+    """Per page: its first n failed responses as (url, status), in the order they were sent. A browser's own favicon
+    request is none of the page's."""
+    wrong = reqs.where((F.col("status") >= 400) & ~F.col("browser_probe"))
+    sample = wrong.select(*PAGE, F.struct("idx", "url", "status").alias("_at"), F.struct("url", "status").alias("sample"))
+    return first_samples(sample, PAGE, "_at", "sample", n, "http_error_samples")
+
+
+def resource_rows(resources: DataFrame) -> DataFrame:
+    """Resource-timing rows in the form of ``requests``: typed by initiator or extension, a status of 0 is unknown.
+
+    Bytes are a lower bound, as other origins may hide theirs. resources: run_id, page_id, idx, name (the URL), type (the
+    initiator), status, transfer.
+    """
+    r = resources.where(~F.coalesce(F.col("name").rlike("^(data:|blob:)"), F.lit(False)))
+    url = F.coalesce("name", F.lit(""))
+    return r.select(*PAGE, url.alias("url"), resource_type(F.col("type"), url).alias("type"), F.when(F.col("status") != 0, F.col("status")).alias("status"),
+                    F.coalesce("transfer", F.lit(0)).cast("long").alias("bytes"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("mixed"),
+                    F.lit(False).alias("browser_probe"), "idx")
+
+
+def page_network(net: DataFrame, resources: DataFrame, documents: DataFrame, domains: int | None = 20) -> DataFrame:
+    """``network_summary`` of every page with its source and error samples: from browser events where the page has a
+    request among them, else from resource timing."""
+    seen = requests(net)
+    rest = resource_rows(resources).join(seen.select(*PAGE).distinct(), PAGE, "left_anti")
+    both = seen.drop("request_id").withColumn("source", F.lit("events")).unionByName(rest.withColumn("source", F.lit("resource_timing")))
+    source = both.groupBy(*PAGE).agg(F.first("source").alias("source"))
+    return network_summary(both.drop("source"), documents, domains).join(source, PAGE).join(http_errors(both), PAGE, "left")
+
+
 def by_type(reqs: DataFrame) -> DataFrame:
     """Per page: a map from lower-cased resource type to its requests and bytes."""
     g = reqs.groupBy(*PAGE, F.lower("type").alias("type")).agg(F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("bytes"))

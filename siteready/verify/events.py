@@ -78,6 +78,32 @@ def _(spark, d):
     return e.groupBy(E.resource_type(F.when(F.col("k") % 5 == 0, "fetch").otherwise("link"), url).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Resource timing of every page, and browser events of two thirds of them.
+view("v_timing", """SELECT run_id, CAST(k % 3 AS BIGINT) AS page_id, ord AS idx, CASE WHEN k % 13 = 0 THEN 'data:x' ELSE concat(CASE WHEN k % 9 = 0 THEN 'http' ELSE 'https' END, '://a.site', CAST(k % 4 AS VARCHAR(2)), '.example/y',
+ CASE k % 5 WHEN 0 THEN '.js' WHEN 1 THEN '.PNG' WHEN 2 THEN '.woff2' ELSE '' END) END AS name, CASE WHEN k % 6 = 0 THEN 'fetch' ELSE 'link' END AS type, CASE WHEN k % 8 = 0 THEN 500 WHEN k % 8 = 1 THEN 0 ELSE 200 END AS status,
+ CASE WHEN k % 10 <> 0 THEN CAST(floor(value * 10) AS BIGINT) END AS transfer FROM v_ev""")
+duck_view("v_all_reqs", """SELECT 'events' AS source, run_id, page_id, url, type, status, bytes, failed, mixed, idx FROM (
+ SELECT run_id, page_id, request_id, bool_or(method = 'request') known, coalesce(arg_max(url, idx) FILTER (WHERE method = 'response'), arg_max(url, idx) FILTER (WHERE method = 'request')) url,
+  coalesce(arg_max(type, idx) FILTER (WHERE method = 'response'), arg_min(type, idx) FILTER (WHERE method = 'request')) type, arg_max(status, idx) FILTER (WHERE method = 'response') status,
+  coalesce(arg_max(encoded_bytes, idx) FILTER (WHERE method = 'finished'), coalesce(sum(encoded_bytes) FILTER (WHERE method = 'data'), 0)) bytes,
+  bool_or(method = 'failed' AND NOT canceled) failed, max(mixed_content) mixed, max(idx) FILTER (WHERE method = 'request') idx FROM v_net WHERE method NOT IN ('commit', 'context') AND run_id % 3 <> 0 GROUP BY ALL) WHERE known
+ UNION ALL SELECT 'events', run_id, page_id, url, type, redirect_status, redirect_bytes, false, mixed_content, idx FROM v_net WHERE method = 'request' AND redirect_status IS NOT NULL AND run_id % 3 <> 0
+ UNION ALL SELECT 'resource_timing', run_id, page_id, name, CASE WHEN type = 'fetch' THEN 'Fetch' WHEN name LIKE '%.js' THEN 'Script' WHEN name LIKE '%.PNG' THEN 'Image' WHEN name LIKE '%.woff2' THEN 'Font' ELSE 'Other' END,
+  nullif(status, 0), coalesce(transfer, 0), false, NULL, idx FROM v_timing WHERE name <> 'data:x' AND (run_id, page_id) NOT IN (SELECT run_id, page_id FROM v_net WHERE method = 'request' AND run_id % 3 <> 0)""")
+
+
+@query("agg_25_page_network", f"""SELECT run_id, page_id, min(source) AS source, count(*) requests, CAST(sum(bytes) AS BIGINT) bytes_transfer, CAST(coalesce(sum(bytes) FILTER (WHERE type = 'Script'), 0) AS BIGINT) bytes_js,
+ CAST(coalesce(sum(bytes) FILTER (WHERE type = 'Font'), 0) AS BIGINT) bytes_font, CAST(coalesce(sum(bytes) FILTER (WHERE {_DOMAIN} <> 'site1.example'), 0) AS BIGINT) bytes_third_party,
+ count(*) FILTER (WHERE status >= 400) http_errors, count(*) FILTER (WHERE failed) failed, count(*) FILTER (WHERE starts_with(url, 'http:') OR mixed = 'blockable') mixed_content,
+ coalesce(array_to_string(list_slice(list(url || ' ' || status ORDER BY idx, url, status) FILTER (WHERE status >= 400), 1, 10), '|'), '') AS samples FROM v_all_reqs GROUP BY run_id, page_id""")
+def _(spark, d):
+    net, timing = _net(spark, d).where("run_id % 3 <> 0"), spark_view(spark, d, "v_timing")
+    s = E.page_network(net, timing, _docs(_net(spark, d)))
+    samples = F.array_join(F.transform(F.coalesce("http_error_samples", F.array()), lambda x: F.concat(x["url"], F.lit(" "), x["status"].cast("string"))), "|")
+    return s.withColumn("samples", samples).select(
+        "run_id", "page_id", "source", "requests", "bytes_transfer", "bytes_js", "bytes_font", "bytes_third_party", "http_errors", "failed", "mixed_content", "samples")
+
+
 view("v_logs", """SELECT run_id, CAST(k % 3 AS BIGINT) AS page_id, ord AS idx, ord, CASE k % 4 WHEN 0 THEN 'exception' WHEN 1 THEN 'console' ELSE 'log' END AS method,
  CASE WHEN k % 5 = 0 THEN 'warning' ELSE 'error' END AS type, CASE WHEN k % 7 = 0 THEN 'info' ELSE 'error' END AS level,
  CASE WHEN k % 8 = 2 THEN 'network' ELSE 'js' END AS log_source, concat('boom   ', CAST(k AS VARCHAR(3))) AS message, concat('E', CAST(k % 9 AS VARCHAR(3))) AS error FROM v_ev WHERE event_type = 'error'""")
