@@ -117,11 +117,12 @@ def prechecked(items: DataFrame) -> DataFrame:
                                        F.count_if(priced & ~F.coalesce("addon", F.lit(True))).alias("other_prechecked"))
 
 
-def unexplained_fees(fees: DataFrame, told_words: DataFrame, counted: DataFrame, lexicon) -> DataFrame:
+def unexplained_fees(fees: DataFrame, told_words: DataFrame, counted: DataFrame, lexicon, shipping: DataFrame | None = None) -> DataFrame:
     """Fee lines of a run that its product page does not announce. fees: run_id, fee_id, label, value.
 
     A fee is explained when all its words (4+ letters) appear on the product page (told_words: run_id, word); tax lines
-    and lines other tests count (counted: run_id, label) are left out.
+    and lines other tests count (counted: run_id, label) are left out. With shipping (run_id: the product page states
+    shipping or a free-shipping threshold) a shipping line is explained by that statement, and by nothing else.
     """
     f = fees.where(F.coalesce("value", F.lit(0.0)) > 0).withColumn("label", T.squash(F.col("label"))).where("label != ''")
     tax = lexicon.hit("tax_line", F.col("label")) & ~lexicon.hit("customs", F.col("label"))
@@ -134,10 +135,27 @@ def unexplained_fees(fees: DataFrame, told_words: DataFrame, counted: DataFrame,
     told = told_words.select("run_id", "word").distinct().withColumn("_told", F.lit(True))
     known = need.join(told, ["run_id", "word"], "left").groupBy("run_id", "fee_id").agg(
         F.min(F.col("word").isNotNull() & F.col("_told").isNotNull()).alias("explained"))
-    open_fees = f.join(known.where("not explained"), ["run_id", "fee_id"], "left_semi")
+    if shipping is None:
+        open_fees = f.join(known.where("not explained"), ["run_id", "fee_id"], "left_semi")
+    else:
+        freight = lexicon.hit("shipping", F.col("label"))
+        stated = shipping.select("run_id").distinct()
+        open_fees = f.where(~freight).join(known.where("not explained"), ["run_id", "fee_id"], "left_semi").unionByName(
+            f.where(freight).join(stated, "run_id", "left_anti"))
     return open_fees.groupBy("run_id").agg(F.count_distinct("norm").alias("unexplained"))
 
 
+def fee_results(runs: DataFrame, unexplained: DataFrame) -> DataFrame:
+    """Per run: the number of unexplained fees, or why there is none to give.
+
+    runs: run_id, product_reason and cart_reason (null: the page is there), empty (no item in cart and checkout).
+    unexplained: ``unexplained_fees``.
+    """
+    reason = F.coalesce("product_reason", "cart_reason", F.when(F.coalesce("empty", F.lit(False)), F.lit("empty_cart")))
+    j = runs.join(unexplained, "run_id", "left").withColumn("reason", reason)
+    return j.select("run_id", F.when(F.col("reason").isNull(), F.coalesce("unexplained", F.lit(0))).alias("unexplained"), "reason")
+
+
 def pair_countdowns(first: DataFrame, second: DataFrame) -> DataFrame:
     """Timers of two visits paired by digit-masked text in order; by position only when each visit shows one timer and
     their words agree. Inputs: run_id, pos, text, remaining_s."""

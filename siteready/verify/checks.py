@@ -302,6 +302,24 @@ def _(spark, d):
     return R.unexplained_fees(fees, told, none, LX)
 
 
+view("v_fee", """SELECT l_orderkey AS run_id, l_linenumber * 1000000 + l_partkey AS fee_id, CASE WHEN l_suppkey % 4 = 0 THEN concat('shipping ', p_name) ELSE concat(p_name, ' fee') END AS label, l_suppkey % 4 = 0 AS freight, p_name,
+ l_linenumber = 3 AS counted FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 20""")
+view("v_fee_runs", """SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 11 = 0 THEN 'timeout' END AS product_reason, CASE WHEN o_custkey % 13 = 0 THEN 'not_reached' END AS cart_reason, o_custkey % 7 = 0 AS empty, o_orderkey % 3 = 0 AS told FROM orders""")
+
+
+@query("join_12_fee_results", f"""WITH t AS (SELECT *, {_TOK.replace('NAME', 'label')} AS t FROM v_fee),
+ o AS (SELECT f.run_id, count(DISTINCT f.label) AS n FROM t f JOIN v_fee_runs r USING (run_id) WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.counted AND c.run_id = f.run_id AND (c.label = f.label OR (least(len(c.t), len(f.t)) >= 2 AND len(list_intersect(c.t, f.t)) = least(len(c.t), len(f.t)))
+   OR len(list_intersect(c.t, f.t))::DOUBLE / len(list_distinct(list_concat(c.t, f.t))) >= 0.6))
+  AND CASE WHEN freight THEN NOT told ELSE EXISTS (SELECT 1 FROM unnest(string_split(p_name, ' ')) w(x) WHERE length(x) >= 4 AND (f.run_id, x) NOT IN (SELECT l_orderkey, unnest(string_split(p_name, ' ')) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity <= 20))
+   OR NOT regexp_matches(p_name, '[a-z]{{4,}}') END GROUP BY 1)
+ SELECT run_id, CASE WHEN reason IS NULL THEN coalesce(n, 0) END AS unexplained, reason FROM (SELECT *, coalesce(product_reason, cart_reason, CASE WHEN empty THEN 'empty_cart' END) AS reason FROM v_fee_runs) LEFT JOIN o USING (run_id)""")
+def _(spark, d):
+    f, runs = spark_view(spark, d, "v_fee").withColumn("value", F.lit(1.0)), spark_view(spark, d, "v_fee_runs")
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    told = j.where("l_quantity <= 20").select(F.col("l_orderkey").alias("run_id"), F.explode(F.split("p_name", " ")).alias("word"))
+    return R.fee_results(runs, R.unexplained_fees(f, told, f.where("counted").select("run_id", "label"), LX, runs.where("told").select("run_id")))
+
+
 view("v_timer", """SELECT run_id, ord AS pos, concat('Sale ', CAST(k % 4 AS VARCHAR(2)), ' ends ', CAST(ord AS VARCHAR(8))) AS text, k % 4 AS m, CAST(floor(value) AS DOUBLE) AS remaining_s, event_type FROM v_ev""")
 duck_view("v_pairs", """SELECT a.run_id, a.pos AS pos1, b.pos AS pos2, a.remaining_s AS s1, b.remaining_s AS s2 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS r FROM v_timer WHERE event_type = 'click') a
  JOIN (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS r FROM v_timer WHERE event_type = 'view') b ON a.run_id = b.run_id AND a.r = b.r""")
