@@ -154,6 +154,18 @@ def finalize(accepted: DataFrame, tasks: DataFrame, evidence: DataFrame | None =
     return out.join(merge_evidence(accepted, out, evidence), key, "left")
 
 
+def settle_finals(accepted: DataFrame, tasks: DataFrame, stored: DataFrame, samples_required: int | None = None) -> DataFrame:
+    """Stored finals as they are, and the majority vote of every task without one: finality is terminal, whatever
+    verdicts come later and whatever number of samples is asked for. samples_required may lower the number a task
+    needs (early finalisation), never raise it. stored: the columns of ``finalize``."""
+    key = ["run_id", "task_id"]
+    waiting = tasks.join(stored.select(*key).distinct(), key, "left_anti")
+    if samples_required is not None:
+        waiting = waiting.withColumn("samples_required", F.least("samples_required", F.lit(samples_required)))
+    fresh = finalize(accepted, waiting)
+    return stored.select(*fresh.columns).unionByName(fresh)
+
+
 def merge_evidence(accepted: DataFrame, finals: DataFrame, evidence: DataFrame, limit: int = K.MAX_EVIDENCE) -> DataFrame:
     """First `limit` distinct (snippet, quote) of the verdicts that agree with the final label."""
     key = ["run_id", "task_id"]

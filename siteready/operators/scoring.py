@@ -559,19 +559,22 @@ def check_links(links: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(F.col("error").isNull() & ~F.col("_host").eqNullSafe(F.col("_own")), F.lit("another_host")).alias("warning"))
 
 
-def link_journeys(obs: DataFrame, checked: DataFrame, catalog: Catalog | None = None, stride: int = 10**12) -> DataFrame:
+def link_journeys(obs: DataFrame, checked: DataFrame, catalog: Catalog | None = None, stride: int | None = None) -> DataFrame:
     """Observations of every run, followed by the journey-scope rows of the journeys linked to it without an error.
 
     A linked row takes the journey's profile where it has none of its own. Rows keep their order within a run and come
-    after the run's own rows in link order: stride must exceed every ord. checked comes from ``check_links``.
+    after the run's own rows in link order: a row's ord grows by stride for each place, as a rule one more than the
+    greatest ord there is. checked comes from ``check_links``.
     """
     catalog = catalog or default_catalog()
+    top = obs.agg(F.coalesce(F.max("ord") + 1, F.lit(1)) if stride is None else F.lit(stride)).toDF("_stride").withColumn("_one", F.lit(0))
     ids = [k.id for k in catalog.kpis.values() if k.scope == "journey"]
     links = checked.where("error is null").select(
         F.col("run_id").alias("_to"), F.col("journey_run_id").alias("run_id"), "pos", F.col("profile").alias("_profile"))
     linked = obs.where(F.col("kpi_id").isin(*ids)).join(links, "run_id")
+    linked = linked.withColumn("_one", F.lit(0)).join(F.broadcast(top), "_one")  # one row
     linked = linked.withColumns({"run_id": F.col("_to"), "profile": F.coalesce("profile", "_profile"),
-                                 "ord": F.col("ord") + F.col("pos") * F.lit(stride)})
+                                 "ord": F.col("ord") + F.col("pos") * F.col("_stride")})
     return obs.unionByName(linked.select(*obs.columns))
 
 

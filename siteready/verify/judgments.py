@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteready.dims import catalog as C
 from siteready.operators import judgments as J
-from siteready.verify.base import ORACLES, duck_view, half_even, query, spark_view, table, view
+from siteready.verify.base import DUCK_VIEWS, ORACLES, duck_view, half_even, query, spark_view, table, view
 
 view("v_tasks", """SELECT o_orderkey % 100 AS run_id, o_orderkey AS task_id, o_orderkey AS task_ord, 'TRI.RETURNS_CLARITY' AS kpi_id,
  CASE WHEN o_orderkey % 2 = 0 THEN 'returns_clarity' ELSE 'value_prop' END AS rubric_id,
@@ -56,6 +56,16 @@ def _(spark, d):
     return _finals(spark, d).select("run_id", "task_id", "label", "agreement", "samples", "confidence")
 
 
+@query("agg_30_sticky_finals", "SELECT run_id, task_id, label, agreement, CAST(samples AS BIGINT) AS samples, confidence FROM (" + DUCK_VIEWS["v_final"].replace("samples >= samples_required", "samples >= least(samples_required, 1)")
+       + ") WHERE task_id % 7 <> 0 UNION ALL SELECT run_id, task_id, 'kept', 1.0, 1, 0.5 FROM v_tasks WHERE task_id % 7 = 0")
+def _(spark, d):
+    """A seventh of the tasks was final before, with other results than a new vote gives; one sample settles the rest."""
+    tasks = spark_view(spark, d, "v_tasks")
+    stored = tasks.where("task_id % 7 = 0").select("run_id", "task_id", "kpi_id", F.lit("kept").alias("label"), F.lit(1.0).alias("agreement"), F.lit(1).cast("long").alias("samples"), F.lit(0.5).alias("confidence"), F.array(F.lit("m")).alias("models"))
+    good = spark_view(spark, d, "v_checked").where("problem is null")
+    return J.settle_finals(good, tasks, stored, 1).select("run_id", "task_id", "label", "agreement", "samples", "confidence")
+
+
 duck_view("v_ev0", "SELECT verdict_id, 0 AS item, CAST(qty AS BIGINT) % 4 AS snippet_id, 'Quote ' || CAST(CAST(qty AS BIGINT) % 6 AS VARCHAR) AS quote FROM v_verdicts")
 
 

@@ -404,7 +404,7 @@ def _(spark, d):
 
 
 @query("join_08_link_journeys", """SELECT run_id, ord, kpi_id, profile, assessed, value_num, value_bool, value_str FROM v_obs UNION ALL
- SELECT c.run_id, o.ord + c.pos * 1000000000000, o.kpi_id, coalesce(o.profile, c.profile), o.assessed, o.value_num, o.value_bool, o.value_str
+ SELECT c.run_id, o.ord + c.pos * (SELECT max(ord) + 1 FROM v_obs), o.kpi_id, coalesce(o.profile, c.profile), o.assessed, o.value_num, o.value_bool, o.value_str
  FROM v_obs o JOIN d_reg r USING (kpi_id) JOIN v_jchecked c ON c.journey_run_id = o.run_id WHERE r.kscope = 'journey' AND c.error IS NULL""")
 def _(spark, d):
     return S.link_journeys(_obs(spark, d), _checked(spark, d), CAT).select("run_id", "ord", "kpi_id", "profile", "assessed", "value_num", "value_bool", "value_str")
@@ -416,7 +416,7 @@ def _(spark, d):
 
 
 # A score over linked runs: the whole chain again, with the linked rows as its observations.
-_LINKED_OBS = """(SELECT * FROM v_obs UNION ALL SELECT c.run_id, o.ord + c.pos * 1000000000000 AS ord, o.kpi_id, o.page_id, coalesce(o.profile, c.profile) AS profile, o.stage,
+_LINKED_OBS = """(SELECT * FROM v_obs UNION ALL SELECT c.run_id, o.ord + c.pos * (SELECT max(ord) + 1 FROM v_obs) AS ord, o.kpi_id, o.page_id, coalesce(o.profile, c.profile) AS profile, o.stage,
  o.assessed, o.source, o.reason, o.value_type, o.value_num, o.value_bool, o.value_str FROM v_obs o JOIN d_reg r USING (kpi_id) JOIN v_jchecked c ON c.journey_run_id = o.run_id
  WHERE r.kscope = 'journey' AND c.error IS NULL)"""
 _CHAIN = "rows prof scoped groups wmed pooled scored worst second agg ctx kpi0 kpis kpi full sub risk".split()
