@@ -234,8 +234,9 @@ def _capped_windows(free: DataFrame, spans: DataFrame, part: list[str], span_ms:
     ends = rows.select(*part, slot(end).alias("_slot"), end.alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("seq"), F.col("seq").alias("_of"))
     # The first shift at or after a window's end lies in the end's slot, or is the first of the next one: slots of an
     # island are not empty, as the span exceeds the gap.
-    ahead = Window.partitionBy(*part, "_slot").orderBy("_at", "_kind", "seq").rowsBetween(0, Window.unboundedFollowing)
-    found = here.unionByName(ends).withColumn("_next", F.first("seq", ignorenulls=True).over(ahead)).where("_kind = 0")
+    # Read backwards, as a frame that runs on to the end of its partition is evaluated anew for each row.
+    ahead = Window.partitionBy(*part, "_slot").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    found = here.unionByName(ends).withColumn("_next", F.last("seq", ignorenulls=True).over(ahead)).where("_kind = 0")
     heads = rows.groupBy(*part, (slot(F.col("start_ms")) - 1).alias("_slot")).agg(F.min("seq").alias("_head"))
     links = found.join(heads, [*part, "_slot"], "left").select(*part, F.col("_of").alias("pos"), F.coalesce("_next", "_head").alias("nxt"))
     starts = follow(links, spans.select(*part, F.col("_first").alias("pos")), part)

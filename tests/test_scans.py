@@ -1,6 +1,7 @@
 """Chunked scans with tiny chunks against a plain pass in Python: chunk borders must not show."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -69,6 +70,14 @@ def test_layout_shift_of_a_page_without_pause(spark):
     assert [r.cls for r in E.layout_shift(df).collect()] == [round(best, 4)]
 
 
+def test_layout_shift_of_many_shifts_in_one_span(spark):
+    """80,000 shifts in a span: work that grows with their square takes minutes."""
+    df = spark.range(120_000).selectExpr("1L as run_id", "0L as page_id", "id as seq", "id / 16D as start_ms", "1 / 64D as value", "false as had_input")
+    began = time.monotonic()
+    assert [r.cls for r in E.layout_shift(df).collect()] == [80_000 / 64]
+    assert time.monotonic() - began < 90
+
+
 def test_task_pages_of_short_and_long_runs_agree(spark):
     rnd, rows, want = random.Random(3), [], {}
     for run, n in ((1, 700), (2, 3), (3, 60), (4, 0)):
