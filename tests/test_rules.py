@@ -119,3 +119,26 @@ def test_oracle_parameters():
     for bad in ({}, {"max_price": 0}, {"max_price": True}, {"max_price": "x"}, {"other": 1, "max_price": 2}):
         with pytest.raises(ValueError):
             api.check_params(spec, bad)
+
+
+def test_raw_rows_meet_the_registry_only_and_medians_follow_their_scopes(spark):
+    catalog = default_catalog()
+    kpi = next(k.id for k in catalog.kpis.values() if k.aggregate == "median")
+    best = next(k for k in catalog.kpis.values() if k.aggregate == "best" and k.mapping)
+    rnd = random.Random(5)
+    rows = [(run, i, kpi, rnd.choice([None, "a", "b"]), "number", rnd.choice([0.0, 3.0, 3.001, 3.002, -7.5, 1e6]), None, None)
+            for run, n in ((1, 40), (2, 7), (3, 1)) for i in range(n)]
+    keys = sorted((key for key, score in best.mapping if score is not None), key=dict(best.mapping).get)
+    rows += [(4, i, best.id, "a", "enum", None, None, key) for i, key in enumerate([keys[0], keys[-1], "unknown key"])]
+    rows += [(5, 0, kpi, None, "number", None, "timeout", None), (5, 1, kpi, "a", "number", None, "not_applicable", None)]
+    obs = spark.createDataFrame(rows, "run_id long, ord long, kpi_id string, profile string, value_type string, value_num double, reason string, value_str string")
+    obs = obs.withColumns({"value_bool": F.lit(None).cast("boolean"), "assessed": F.col("reason").isNull()})
+    assert S.prepare_rows(obs, catalog)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    grouped = S._grouped(*S.partials(obs, catalog), catalog, None).collect()
+    for r in grouped:
+        mine = sorted(x[5] for x in rows if x[0] == r.run_id and x[5] is not None and (r.scope == "overall" or x[3] in (None, r.scope)))
+        want = (mine[(len(mine) - 1) // 2] + mine[len(mine) // 2]) / 2 if mine else None
+        assert (r.run_id, r.scope, r.median_x) == (r.run_id, r.scope, want if r.kpi_id == kpi else None)
+    by = {(r.run_id, r.scope): r for r in grouped}
+    assert by[4, "overall"].best_v.v.value_str == keys[-1] and by[5, "overall"].pending.why == "timeout"
+    assert by[5, "a"].worst_reason.why == "timeout" and by[5, "a"].pending.why == "timeout" and (by[3, "overall"].pending, by[3, "overall"].worst_reason) == (None, None)
