@@ -241,7 +241,9 @@ def _unpivot_checks(pages: DataFrame, checks: dict, keys: list[str], catalog: Ca
         cell = F.struct(F.lit(kpi).alias("kpi_id"), F.lit(kind).alias("value_type"), at["number"].alias("value_num"),
                         at["bool"].alias("value_bool"), at["enum"].alias("value_str"), F.col(f"_r{i}").alias("reason"))
         cells.append(F.when(F.col("stage").isin(*stages), cell) if stages else cell)
-    out = wide.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_o"))
+    # the array is a column before it is exploded, so compiled code makes it; cells of other stages go after the explode,
+    # since taking them out of the array runs a lambda for each
+    out = wide.select(*keys, F.array(*cells).alias("_cells")).select(*keys, F.explode("_cells").alias("_o")).where("_o is not null")
     out = out.select(*keys, *[F.col("_o")[c].alias(c) for c in ("kpi_id", "value_type", "value_num", "value_bool", "value_str", "reason")])
     return out
 

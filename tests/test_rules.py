@@ -142,3 +142,16 @@ def test_raw_rows_meet_the_registry_only_and_medians_follow_their_scopes(spark):
     by = {(r.run_id, r.scope): r for r in grouped}
     assert by[4, "overall"].best_v.v.value_str == keys[-1] and by[5, "overall"].pending.why == "timeout"
     assert by[5, "a"].worst_reason.why == "timeout" and by[5, "a"].pending.why == "timeout" and (by[3, "overall"].pending, by[3, "overall"].worst_reason) == (None, None)
+
+
+def test_page_checks_make_their_cells_in_compiled_code(spark):
+    from siteready.operators import checks as C
+    pages = spark.createDataFrame([(1, 10, 1, "a", "pdp", True, 3), (1, 11, 2, "a", "cart", False, 0)],
+                                  "run_id long, page_id long, page_ord long, profile string, stage string, has_doc boolean, requests int")
+    out = C.page_kpis(pages.withColumn("signals", F.array(F.lit("none"))))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "lambdafunction" not in plan and "explode(array(" not in plan and "explode(_cells" in plan
+    got = {(r.page_id, r.kpi_id): r for r in out.collect()}
+    assert len(got) == out.count() and got[10, "PERF.REQUESTS"].value_num == 3.0 and got[11, "PERF.REQUESTS"].assessed
+    assert got[11, "CCL.HEADINGS"].reason == "audit_unavailable" and not got[11, "CCL.HEADINGS"].assessed
+    assert (11, "FAI.PDP_CTA_ABOVE_FOLD") not in got and (10, "FAI.CART_EDITABLE") not in got
