@@ -10,7 +10,7 @@ from siteready.dims import constants as K
 from siteready.dims import catalog as C
 from siteready.functions import text as T
 from siteready.functions.numbers import round_half_even
-from siteready.operators.scan import follow, with_running
+from siteready.operators.scan import follow, stored, with_running
 
 
 def select_snippets(snippets: DataFrame, kinds: DataFrame, limit: int = K.MAX_SNIPPETS) -> DataFrame:
@@ -338,19 +338,51 @@ def page_tasks(tasks: DataFrame, limit: int = K.TASK_PAGE, budget: int = K.TASK_
     return _folded_pages(short, limit, budget).unionByName(_linked_pages(long, limit, budget))
 
 
-def _linked_pages(tasks: DataFrame, limit: int, budget: int, chunk: int = 10_000) -> DataFrame:
+def _linked_pages(tasks: DataFrame, limit: int, budget: int, chunk: int = 1024) -> DataFrame:
+    """Pages of runs of any length. A page holds at most ``limit`` tasks, so the first one that begins in a chunk begins
+    at one of its first ``limit`` tasks: a chunk is reduced to where each of these leads to in the next chunk, and only
+    those few links are followed over the run. Every chunk is then cut from the one task it is entered at."""
+    chunk = max(chunk, limit)
     sized = with_running(tasks.select("run_id", "task_id", "task_ord", "chars"), ["run_id"], "task_ord", {"pos": F.lit(1), "_upto": F.col("chars")})
     here = F.floor((F.col("pos") - 1) / chunk)
     near = F.when((F.col("pos") - 1) % chunk < limit, here - 1)  # the first rows of a chunk also end the one before it
-    spread = sized.select("run_id", "pos", "chars", "_upto", F.explode(F.array_compact(F.array(here, near))).alias("_chunk"), here.alias("_own"))
+    spread = sized.select("run_id", "task_id", "pos", "chars", "_upto", F.explode(F.array_compact(F.array(here, near))).alias("_chunk"), here.alias("_own"))
     next_rows = F.collect_list("_upto").over(Window.partitionBy("run_id", "_chunk").orderBy("pos").rowsBetween(1, limit))
     fits = F.size(F.filter("_next", lambda x: x <= F.col("_upto") - F.col("chars") + budget))
     step = F.least(F.lit(limit), fits + 1)
     links = (spread.withColumn("_next", next_rows).where("_chunk = _own")
-             .select("run_id", "pos", F.when(F.size("_next") >= step, F.col("pos") + step).alias("nxt")))
-    starts = follow(links, sized.where("pos = 1").select("run_id", "pos"), ["run_id"]).withColumn("_start", F.lit(1))
-    paged = with_running(sized.join(starts, ["run_id", "pos"], "left"), ["run_id"], "pos", {"_page": F.coalesce("_start", F.lit(0))})
-    return paged.select("run_id", "task_id", (F.col("_page") - 1).cast("int").alias("page"))
+             .select("run_id", "_chunk", "pos", "task_id", F.when(F.size("_next") >= step, F.col("pos") + step).alias("nxt")))
+    # the rows of a chunk in order; nxt is null where no further page begins
+    rows = stored(links.groupBy("run_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "nxt", "task_id"))).alias("_rows")), "chunks")
+    first = F.col("_chunk") * chunk + 1
+
+    def walk(at: Column, row: Column) -> Column:
+        moved = F.struct(row["nxt"].alias("at"), (at["n"] + 1).alias("n"))
+        return F.when(at["at"] == row["pos"], moved).otherwise(at)
+
+    entries = F.transform(F.slice("_rows", 1, limit), lambda r: F.struct(r["pos"].alias("at"), F.lit(0).alias("n")))
+    ends = F.aggregate("_rows", entries, lambda state, row: F.transform(state, lambda at: walk(at, row)))
+    ways = stored(rows.select("run_id", "_chunk", first.alias("_first"), F.posexplode(ends).alias("_i", "_end"))
+                  .select("run_id", "_chunk", (F.col("_first") + F.col("_i")).alias("pos"), F.col("_end.at").alias("nxt"), F.col("_end.n").alias("n")), "ways")
+    start = ways.where("pos = 1").select("run_id", "pos")
+    taken = ways.join(follow(ways.select("run_id", "pos", "nxt"), start, ["run_id"]), ["run_id", "pos"])
+    taken = taken.select("run_id", "_chunk", F.col("pos").alias("_entry"), "n")
+    # the last page may hold all of the last chunk: no page begins in it
+    before = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    taken = (rows.select("run_id", "_chunk").join(taken, ["run_id", "_chunk"], "left")
+             .select("run_id", "_chunk", "_entry", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
+
+    def cut(state: Column, row: Column) -> Column:
+        return F.when(state["at"] == row["pos"], F.struct(row["nxt"].alias("at"), F.concat(state["starts"], F.array(row["pos"])).alias("starts"))).otherwise(state)
+
+    none = F.struct(F.col("_entry").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    paged = rows.join(taken, ["run_id", "_chunk"]).withColumn("_starts", F.aggregate("_rows", none, cut)["starts"])
+    bounds = F.concat(F.array(F.col("_rows")[0]["pos"]), F.col("_starts"), F.array(F.col("_rows")[F.size("_rows") - 1]["pos"] + 1))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_starts")), lambda i: F.struct(
+        (F.col("_before") - 1 + i).cast("int").alias("page"),
+        F.slice("_rows", (F.col("_bounds")[i] - F.col("_bounds")[0] + 1).cast("int"), (F.col("_bounds")[i + 1] - F.col("_bounds")[i]).cast("int")).alias("rows")))
+    paged = paged.withColumn("_bounds", bounds).select("run_id", F.explode(pieces).alias("_p"))
+    return paged.select("run_id", F.col("_p.page").alias("page"), F.explode("_p.rows.task_id").alias("task_id")).select("run_id", "task_id", "page")
 
 
 def _folded_pages(tasks: DataFrame, limit: int, budget: int) -> DataFrame:

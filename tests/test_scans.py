@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteready.operators import events as E
 from siteready.operators import judgments as J
-from siteready.operators import risk
+from siteready.operators import risk, scan
 from siteready.operators.components import components
 from siteready.operators.scan import with_last, with_previous, with_running
 
@@ -139,3 +139,23 @@ def test_product_clusters_match_pairs(spark):
                     changed = True
     df = spark.createDataFrame(rows, "run_id long, visit_id long, url string, sku string, title string")
     assert {r.visit_id: r["product"] for r in risk.product_clusters(df, ["run_id"]).collect()} == want
+
+
+def test_linked_pages_cross_chunks_and_follow_few_links(spark, monkeypatch):
+    rnd, rows, want = random.Random(9), [], {}
+    for run, n in ((1, 400), (2, 33), (3, 17), (4, 16), (5, 1), (6, 160)):
+        page, count, used = 0, 0, 0
+        for i in range(n):
+            chars = 10 if run == 6 or i > n - 4 else rnd.choice([10, 900, 4000, 20000, 50000])
+            rows.append((run, f"t{i}", i * 7, chars))
+            if count and (used + chars > 36000 or count >= 15):
+                page, count, used = page + 1, 0, 0
+            count, used = count + 1, used + chars
+            want[run, f"t{i}"] = page
+    df = spark.createDataFrame(rows, "run_id long, task_id string, task_ord long, chars long")
+    seen = []
+    monkeypatch.setattr(J, "follow", lambda links, first, keys: seen.append(links.count()) or scan.follow(links, first, keys))
+    for chunk in (1, 16, 40, 1024):  # a chunk is never smaller than a page
+        got = {(r.run_id, r.task_id): r.page for r in J._linked_pages(df, 15, 36000, chunk).collect()}
+        assert got == want
+    assert len(got) == len(rows) and seen[-1] == sum(min(15, n) for n in (400, 33, 17, 16, 1, 160))
