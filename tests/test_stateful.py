@@ -168,3 +168,27 @@ def test_run_table_replaces_empties_and_compacts(spark):
         assert max(map(len, table.live(i).values())) <= 3
     some = spark.createDataFrame([("r1",), ("r2",), ("nobody",)], "run_id string")
     assert sorted(x for _, x in table.rows_of(some, 8).collect()) == sorted(want["r1"] + want["r2"])
+
+
+def test_a_timer_that_changes_nothing_makes_no_needless_state_calls():
+    class Calls(list):
+        def __init__(self, found):
+            self.found = found
+
+        def get(self):
+            return self.found
+
+        def __getattr__(self, name):
+            return lambda *a: self.append((name, a))
+
+    rule = stateful.Journeys(idle=1000)
+    state = rule.start() | {"last": 5000, "steps": 1, "opened": 5000}
+    rule.kept, rule.waiting, rule.handle = Calls(tuple(state[f] for f in rule.state_fields)), Calls([]), Calls(None)
+    times = type("T", (), {"getCurrentWatermarkInMs": lambda self: 5500})()
+    assert list(rule.handleExpiredTimer((1,), times, None)) == []
+    assert (rule.kept, rule.waiting, rule.handle) == ([], [], [("registerTimer", (6000,))])
+    times = type("T", (), {"getCurrentWatermarkInMs": lambda self: 6000})()
+    closed, = rule.handleExpiredTimer((1,), times, None)
+    assert closed.reason == "idle" and closed.closed_ms == 6000 and [c[0] for c in rule.kept] == ["update"]
+    rule.kept, rule.handle = Calls(None), Calls(None)
+    assert list(rule.handleExpiredTimer((2,), times, None)) == [] and (rule.kept, rule.handle) == ([], [])
