@@ -10,23 +10,49 @@ from siteready.dims import constants as K
 from siteready.functions import text as T
 from siteready.functions.numbers import round_half_even
 from siteready.operators.components import components
-from siteready.operators.scan import with_previous, with_running
+from siteready.operators.scan import stored, with_previous, with_running
+
+
+TOGETHER = 16_384  # pairs of names of one key that are compared one by one
 
 
 def same_item_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of labels of one key that name the same item. left: keys, left_id, left_name; right likewise.
 
-    Names are compared only when they meet on a rare enough token, never all with all. A match shares 60 % of all
-    tokens, or one side's tokens are all in the other. So one side's rarest tokens (as many as a 60 % match cannot all
-    miss) against every token of the other, plus the reverse with the single rarest, find every match exactly.
+    The few names of a short key are compared one by one; keys with more than TOGETHER pairs block on tokens. Both sides
+    are read once more to count their keys, so give tables or cheap plans.
     """
     def names(df: DataFrame, side: str) -> DataFrame:
         d = df.withColumn(f"{side}_norm", T.fold(F.col(f"{side}_name"))).withColumn(f"{side}_tok", T.item_tokens(F.col(f"{side}_name")))
-        d = d.where(F.length(f"{side}_norm") > 0)
-        blocks = F.when(F.size(f"{side}_tok") > 0, F.col(f"{side}_tok")).otherwise(F.array(f"{side}_norm"))
-        return d.select(*keys, f"{side}_id", f"{side}_norm", f"{side}_tok", F.explode(blocks).alias("_t"))
+        return d.where(F.length(f"{side}_norm") > 0).select(*keys, f"{side}_id", f"{side}_norm", f"{side}_tok")
+
+    def count(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*keys, *[F.lit(int(n == side)).alias(f"_{n}") for n in ("left", "right")])
 
     a, b = names(left, "left"), names(right, "right")
+    counts = count(left, "left").unionByName(count(right, "right")).groupBy(*keys).agg(F.sum("_left").alias("_l"), F.sum("_right").alias("_r"))
+    crowded = stored(counts.where(F.col("_l") * F.col("_r") > TOGETHER).select(*keys), "crowded")
+    if crowded.isEmpty():
+        met = a.join(b, keys)
+    else:
+        few = a.join(crowded, keys, "left_anti").join(b, keys)
+        met = few.unionByName(_met_on_tokens(a.join(crowded, keys, "left_semi"), b.join(crowded, keys, "left_semi"), keys).select(*few.columns))
+    met = met.where(T.same_item(F.col("left_norm"), F.col("right_norm"), F.col("left_tok"), F.col("right_tok")))
+    return met.select(*keys, "left_id", "right_id").distinct()
+
+
+def _met_on_tokens(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Names of one key that may name the same item: they share a rare enough token, never all with all.
+
+    A match shares 60 % of all tokens, or one side's tokens are all in the other. So one side's rarest tokens (as many
+    as a 60 % match cannot all miss) against every token of the other, plus the reverse with the single rarest, find
+    every match exactly.
+    """
+    def blocks(df: DataFrame, side: str) -> DataFrame:
+        tokens = F.when(F.size(f"{side}_tok") > 0, F.col(f"{side}_tok")).otherwise(F.array(f"{side}_norm"))
+        return df.withColumn("_t", F.explode(tokens))
+
+    a, b = blocks(left, "left"), blocks(right, "right")
     seen = a.select(*keys, "_t").unionByName(b.select(*keys, "_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
 
     def rare(df: DataFrame, side: str, keep: Column) -> DataFrame:
@@ -36,9 +62,7 @@ def same_item_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     n = F.greatest(F.lit(1), F.size("left_tok"))
     prefix = rare(a, "left", n - F.ceil(n * F.lit(0.6)) + 1)
     rarest = rare(b, "right", F.lit(1))
-    met = prefix.join(b, [*keys, "_t"]).unionByName(a.join(rarest, [*keys, "_t"]))
-    met = met.where(T.same_item(F.col("left_norm"), F.col("right_norm"), F.col("left_tok"), F.col("right_tok")))
-    return met.select(*keys, "left_id", "right_id").distinct()
+    return prefix.join(b, [*keys, "_t"]).unionByName(a.join(rarest, [*keys, "_t"]))
 
 
 def name_groups(items: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
@@ -117,6 +141,27 @@ def prechecked(items: DataFrame) -> DataFrame:
                                        F.count_if(priced & ~F.coalesce("addon", F.lit(True))).alias("other_prechecked"))
 
 
+FOLDED = 4096  # a run's fee lines and told words that one task may hold together
+
+
+def _explained_by_run(fees: DataFrame, told: DataFrame) -> DataFrame:
+    """Adds explained: all words of all lines of the fee are told (null without run or fee). A run's words are one list."""
+    words = T.words(F.col("label"), 4)
+    here = F.coalesce("_told", F.array().cast("array<string>"))
+    rows = fees.withColumn("_words", words).join(told.groupBy("run_id").agg(F.collect_set("word").alias("_told")), "run_id", "left")
+    rows = rows.withColumn("_all", (F.size("_words") > 0) & (F.size(F.array_except("_words", here)) == 0)).drop("_words", "_told")
+    known = F.col("run_id").isNotNull() & F.col("fee_id").isNotNull()
+    return rows.withColumn("explained", F.when(known, F.min("_all").over(Window.partitionBy("run_id", "fee_id")))).drop("_all")
+
+
+def _explained_by_word(fees: DataFrame, told: DataFrame) -> DataFrame:
+    """The same for runs of any length: words meet one by one."""
+    need = fees.select("run_id", "fee_id", F.explode_outer(F.array_distinct(T.words(F.col("label"), 4))).alias("word"))
+    known = need.join(told.distinct().withColumn("_told", F.lit(True)), ["run_id", "word"], "left").groupBy("run_id", "fee_id").agg(
+        F.min(F.col("word").isNotNull() & F.col("_told").isNotNull()).alias("explained"))
+    return fees.join(known, ["run_id", "fee_id"], "left").select(*fees.columns, "explained")
+
+
 def unexplained_fees(fees: DataFrame, told_words: DataFrame, counted: DataFrame, lexicon, shipping: DataFrame | None = None) -> DataFrame:
     """Fee lines of a run that its product page does not announce. fees: run_id, fee_id, label, value.
 
@@ -126,22 +171,26 @@ def unexplained_fees(fees: DataFrame, told_words: DataFrame, counted: DataFrame,
     """
     f = fees.where(F.coalesce("value", F.lit(0.0)) > 0).withColumn("label", T.squash(F.col("label"))).where("label != ''")
     tax = lexicon.hit("tax_line", F.col("label")) & ~lexicon.hit("customs", F.col("label"))
-    f = f.where(~tax).withColumn("norm", T.mask_numbers(F.col("label")))
+    # patterns are read once for each line, whatever reads the lines later
+    freight = F.lit(False) if shipping is None else lexicon.hit("shipping", F.col("label"))
+    f = stored(f.where(~tax).select("run_id", "fee_id", "label", T.mask_numbers(F.col("label")).alias("norm"), freight.alias("freight")), "fees")
     left = f.select("run_id", F.col("fee_id").alias("left_id"), F.col("label").alias("left_name"))
-    right = counted.select("run_id", F.col("label").alias("right_name")).withColumn("right_id", F.col("right_name"))
+    right = stored(counted.select("run_id", F.col("label").alias("right_name")).distinct(), "counted").withColumn("right_id", F.col("right_name"))
     dup = same_item_join(left, right, ["run_id"]).select("run_id", F.col("left_id").alias("fee_id")).distinct()
+    told = told_words.select("run_id", "word")
+    crowded = f.select("run_id").unionByName(told.select("run_id")).groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = stored(crowded.where(F.col("_n") > FOLDED).select("run_id"), "crowded")
     f = f.join(dup, ["run_id", "fee_id"], "left_anti")
-    need = f.select("run_id", "fee_id", F.explode_outer(F.array_distinct(T.words(F.col("label"), 4))).alias("word"))
-    told = told_words.select("run_id", "word").distinct().withColumn("_told", F.lit(True))
-    known = need.join(told, ["run_id", "word"], "left").groupBy("run_id", "fee_id").agg(
-        F.min(F.col("word").isNotNull() & F.col("_told").isNotNull()).alias("explained"))
-    if shipping is None:
-        open_fees = f.join(known.where("not explained"), ["run_id", "fee_id"], "left_semi")
+    if crowded.isEmpty():
+        rows = _explained_by_run(f, told)
+    else:
+        short, long = ([df.join(crowded, "run_id", how) for df in (f, told)] for how in ("left_anti", "left_semi"))
+        rows = _explained_by_run(*short).unionByName(_explained_by_word(*long))
+    if shipping is not None:
+        rows = rows.join(shipping.select("run_id").distinct().withColumn("_stated", F.lit(True)), "run_id", "left")
+        open_fees = rows.where(F.when(F.col("freight"), F.col("_stated").isNull()).otherwise(~F.col("explained")))
     else:
-        freight = lexicon.hit("shipping", F.col("label"))
-        stated = shipping.select("run_id").distinct()
-        open_fees = f.where(~freight).join(known.where("not explained"), ["run_id", "fee_id"], "left_semi").unionByName(
-            f.where(freight).join(stated, "run_id", "left_anti"))
+        open_fees = rows.where(~F.col("explained"))
     return open_fees.groupBy("run_id").agg(F.count_distinct("norm").alias("unexplained"))
 
 

@@ -11,6 +11,7 @@ from siteready import api
 from siteready.dims.catalog import check_parity, default_catalog, default_rubrics
 from siteready.functions import text as T
 from siteready.functions import urls as U
+from siteready.functions.lexicon import Lexicon
 from siteready.operators import judgments as J
 from siteready.operators import pages as P
 from siteready.operators import risk as R
@@ -76,6 +77,38 @@ def test_same_item_join_equals_brute_force(spark):
     assert got == {(a, b) for a, b in itertools.product(names, names) if same(a, b)}
 
 
+@pytest.mark.parametrize("together", [0, 150, 10**6])
+def test_same_item_join_is_the_same_for_short_and_crowded_keys(spark, monkeypatch, together):
+    monkeypatch.setattr(R, "TOGETHER", together)
+    names = ["red shoe", "red shoe xl", "blue bag", "bag", "big kit", "red bag", "a", "shoe red"]
+    rows = [(k, f"{k}{n}", n) for k, of in ((1, names), (2, names * 2), (None, names)) for n in of]
+    left = spark.createDataFrame(rows, "run_id int, left_id string, left_name string")
+    right = left.withColumnsRenamed({"left_id": "right_id", "left_name": "right_name"})
+    got = [(r.run_id, r.left_id[1:], r.right_id[1:]) for r in R.same_item_join(left, right, ["run_id"]).collect()]
+    one = {("red shoe", "red shoe xl"), ("red shoe", "shoe red"), ("red shoe xl", "shoe red")}
+    pairs = one | {(b, a) for a, b in one} | {(n, n) for n in names}
+    assert sorted(got) == sorted((k, a, b) for k in (1, 2) for a, b in pairs)
+
+
+@pytest.mark.parametrize("folded, together", [(0, 0), (6, 3), (4096, 16_384)])
+def test_unexplained_fees_are_the_same_for_short_and_long_runs(spark, monkeypatch, folded, together):
+    monkeypatch.setattr(R, "FOLDED", folded)
+    monkeypatch.setattr(R, "TOGETHER", together)
+    fees = [(1, 1, "handling fee"), (1, 2, "Packing 2 surcharge"), (1, 2, "Packing 3 surcharge"), (1, 3, "sales tax"), (1, 4, "xyz"),
+            (1, 5, "gift wrap"), (1, 6, "shipping desk"), (2, 1, "handling fee"), (2, None, "insurance premium"), (2, 2, "shipping desk"),
+            (3, 1, "handling fee"), (3, 1, "handling desk"), (None, 1, "shipping desk"), (None, 2, "handling fee")]
+    fees = spark.createDataFrame([(*f, 1.0) for f in fees], "run_id int, fee_id int, label string, value double")
+    told = spark.createDataFrame([(1, "packing"), (1, "surcharge"), (2, "handling"), (3, "handling"), (3, None)], "run_id int, word string")
+    counted = spark.createDataFrame([(1, "gift wrap"), (1, "gift wrap paper")], "run_id int, label string")
+    stated = spark.createDataFrame([(1,), (1,)], "run_id int")
+
+    def result(*shipping):
+        return {r.run_id: r.unexplained for r in R.unexplained_fees(fees, told, counted, Lexicon(), *shipping).collect()}
+
+    assert result(stated) == {1: 2, 2: 1, 3: 2, None: 1}
+    assert result() == {1: 3, 2: 1, 3: 2}
+
+
 def test_task_pages_bound_tasks_and_characters(spark):
     rnd = random.Random(8)
     sizes = [rnd.choice([100, 3000, 9000, 40000]) for _ in range(80)]
