@@ -77,6 +77,17 @@ def test_same_item_join_equals_brute_force(spark):
     assert got == {(a, b) for a, b in itertools.product(names, names) if same(a, b)}
 
 
+def test_modes_that_nobody_asked_for_are_not_merged(spark):
+    rows = [("TRI.HTTPS", False, "mobile", True, None), ("TRI.HTTPS", True, "desktop", True, None), ("TRI.HTTPS", True, None, False, "timeout")]
+    whole = S.aggregate_kpis(_obs(spark, rows))
+    mode = whole.first().aggregate_mode
+    some = whole.where(F.col("aggregate_mode") == mode)
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"aggregate_mode#\d+ = {mode}\)", plan[plan.index("Generate explode"):])
+    result = lambda df: sorted(map(str, df.select("scope", "value_bool", "assessed", "reason", "n_rows").collect()))
+    assert result(some) == result(whole) and whole.where(F.col("aggregate_mode") != mode).count() == 0
+
+
 @pytest.mark.parametrize("together", [0, 150, 10**6])
 def test_same_item_join_is_the_same_for_short_and_crowded_keys(spark, monkeypatch, together):
     monkeypatch.setattr(R, "TOGETHER", together)
